@@ -192,15 +192,19 @@ class Cache(dict):
         return form
 
 
+#: Of each Python worker.
+_CACHE = Cache()
+
+
 @F.pandas_udf(T.StringType())
 def normal_udf(texts: pd.Series) -> pd.Series:
-    cache = Cache()
+    cache = _CACHE
     return pd.Series([cache[t] if t is None or len(t) < 64 else normal_form(t) for t in texts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def normal_words_udf(lists: pd.Series) -> pd.Series:
-    cache = Cache()
+    cache = _CACHE
     return pd.Series([None if x is None else [cache[w] for w in x] for x in lists], dtype=object)
 
 

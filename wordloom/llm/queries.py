@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q1_lookalikes",)
+MODULES = ("q1_lookalikes", "q7_encode")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
