@@ -109,7 +109,8 @@ def pack(sizes: DataFrame, limits: Limits, key: str = "doc_id", size: str = "n_t
         out.insert(0, "container", at * groups + int(group["g"].iloc[0]))
         return out
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    # The rows are few bytes but much work: their number of tasks mustn't be coalesced by size.
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece"), F.lit(groups))).repartition(min(groups, 20_000), "g")
     packed = dealt.groupBy("g").applyInPandas(run, f"container bigint, key {kind}, piece int, n_pieces int, start bigint, length bigint")
     return packed.withColumnRenamed("key", key)
 

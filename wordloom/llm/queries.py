@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q1_lookalikes", "q7_encode", "q8_packing")
+MODULES = ("q1_lookalikes", "q7_encode", "q8_packing", "q9_cutoffs")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
