@@ -20,7 +20,8 @@ def _targets(spark, d):
 
 
 def p3_found(spark, d):
-    return S.report(_keys(spark, d), _targets(spark, d)).filter("gap > 0").select("draw_id", "stratum")
+    """Categories that the draw left short, of which those count that lack records (others only share theirs)."""
+    return S.report(_keys(spark, d), _targets(spark, d)).filter("left_out > 0").filter("gap > 0").select("draw_id", "stratum")
 
 
 def p3_report(spark, d):
