@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw",)
+MODULES = ("raw", "text")
 
 
 def registries():
