@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw", "text")
+MODULES = ("raw", "text", "joins")
 
 
 def registries():
