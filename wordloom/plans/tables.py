@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
 from wordloom.functions.numeric import log_scale, table_bytes
+from wordloom.operators.windows import numbered
 from wordloom.profiles import HEBREW, Profile
 from wordloom.session import small
 
@@ -28,18 +29,9 @@ def counted(words: DataFrame, word: str = "token") -> DataFrame:
 
 
 def lexicon(counts: DataFrame, min_count: int = 5) -> DataFrame:
-    """(word_id, word, cnt, log_freq): ids follow the words' code-point order from 0.
-
-    The ids need one global order: ranges of words are numbered side by side and shifted by the sizes of the ranges
-    before them, so that no task holds more than its range.
-    """
-    kept = counts.filter(F.col("cnt") >= min_count)
-    ranged = kept.repartitionByRange("word").withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("word")))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(before.select("part", "before")), "part")  # as many rows as there are partitions
-    return out.select((F.col("before") + F.col("k") - 1).cast("int").alias("word_id"), "word", "cnt", log_scale(F.col("cnt")).cast("smallint").alias("log_freq"))
+    """(word_id, word, cnt, log_freq): ids follow the words' code-point order from 0."""
+    kept = numbered(counts.filter(F.col("cnt") >= min_count), ["word"], "word_id")
+    return kept.select(F.col("word_id").cast("int").alias("word_id"), "word", "cnt", log_scale(F.col("cnt")).cast("smallint").alias("log_freq"))
 
 
 def _pair_counts(sents: DataFrame, distance: int) -> DataFrame:

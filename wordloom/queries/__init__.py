@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw", "text", "joins")
+MODULES = ("raw", "text", "joins", "aggs", "models")
 
 
 def registries():

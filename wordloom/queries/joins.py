@@ -57,9 +57,9 @@ def q_join4_has_continuations(spark, d):
 
 _PREFIX = f"prefixes(prefix) AS (VALUES {', '.join(f'({chr(39)}{p}{chr(39)})' for p in HEBREW.prefixes)})"
 _STEMS = f"""{_PREFIX}, words AS (SELECT DISTINCT token AS word FROM tok),
-  cand AS (SELECT w.word, prefix, substr(w.word, length(prefix) + 1) AS stem FROM words w JOIN prefixes ON starts_with(w.word, prefix) ANTI JOIN lexicon l ON l.word = w.word),
-  hit AS (SELECT c.*, row_number() OVER (PARTITION BY c.word ORDER BY length(prefix) DESC, prefix) AS r FROM cand c JOIN lexicon l ON l.word = c.stem WHERE length(stem) >= 4),
-  stems AS (SELECT word, '' AS prefix, word AS stem FROM words SEMI JOIN lexicon USING (word) UNION ALL SELECT word, prefix, stem FROM hit WHERE r = 1)"""
+  stem_cand AS (SELECT w.word, prefix, substr(w.word, length(prefix) + 1) AS stem FROM words w JOIN prefixes ON starts_with(w.word, prefix) ANTI JOIN lexicon l ON l.word = w.word),
+  stem_hit AS (SELECT c.*, row_number() OVER (PARTITION BY c.word ORDER BY length(prefix) DESC, prefix) AS r FROM stem_cand c JOIN lexicon l ON l.word = c.stem WHERE length(stem) >= 4),
+  stems AS (SELECT word, '' AS prefix, word AS stem FROM words SEMI JOIN lexicon USING (word) UNION ALL SELECT word, prefix, stem FROM stem_hit WHERE r = 1)"""
 
 
 @query(f"WITH {TOK}, {_STEMS} SELECT * FROM stems")
@@ -67,7 +67,7 @@ def q_join5_stem(spark, d):
     return L.stems(_words(spark, d), lex(spark, d))
 
 
-_GRID = "UNION ALL ".join(f"SELECT {k} AS min_stem, word FROM cand c JOIN lexicon l ON l.word = c.stem WHERE length(stem) >= {k} " for k in (2, 3, 4, 5))
+_GRID = "UNION ALL ".join(f"SELECT {k} AS min_stem, word FROM stem_cand c JOIN lexicon l ON l.word = c.stem WHERE length(stem) >= {k} " for k in (2, 3, 4, 5))
 
 
 @query(f"""WITH {TOK}, {_STEMS}, ok AS (SELECT DISTINCT * FROM (SELECT k AS min_stem, word FROM words SEMI JOIN lexicon USING (word), (VALUES (0), (2), (3), (4), (5)) v(k) UNION ALL {_GRID.replace('word FROM', 'c.word FROM')})),
@@ -198,10 +198,11 @@ def q_join18_nearest_key(spark, d):
     return e.select("event_id", L.nearest_key(S.keys(HEBREW), (_c("event_id") * 37 % 1200).cast("double"), (_c("event_id") * 91 % 760).cast("double")).alias("key"))
 
 
-@query("""WITH k AS (SELECT doc_id, source, array_to_string(regexp_extract_all(text, '[א-ת]+'), ' ') AS key FROM documents) SELECT doc_id FROM k WHERE source = 'typed_comments' AND key <> '' AND key IN (SELECT key FROM k WHERE source = 'subtitles')""")
+@query(f"""WITH {TOK}, k AS (SELECT doc_id, source, sent_id, array_to_string(a, ' ') AS key FROM toks WHERE len(a) >= 1) SELECT doc_id, sent_id FROM k WHERE source = 'typed_comments' AND key IN (SELECT key FROM k WHERE source = 'subtitles')""")
 def q_join19_contamination(spark, d):
-    k = docs(spark, d).select("doc_id", "source", X.token_key(_c("text")).alias("key")).filter("key <> ''")
-    return k.filter("source = 'typed_comments'").join(k.filter("source = 'subtitles'").select("key"), "key", "left_semi").select("doc_id")
+    """Sentences of one register that another holds word for word."""
+    k = sents(spark, d).select("doc_id", "source", "sent_id", F.array_join("tokens", " ").alias("key"))
+    return k.filter("source = 'typed_comments'").join(k.filter("source = 'subtitles'").select("key"), "key", "left_semi").select("doc_id", "sent_id")
 
 
 @query(f"WITH {TOK} SELECT DISTINCT token AS word FROM tok ANTI JOIN lexicon ON word = token")
