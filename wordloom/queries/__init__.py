@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw", "text", "joins", "aggs", "models")
+MODULES = ("raw", "text", "joins", "aggs", "models", "evals", "flows")
 
 
 def registries():
