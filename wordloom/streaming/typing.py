@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.profiles import BUFFER
 from wordloom.session import shared_dir
@@ -31,7 +32,7 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "bigint")).parquet(f"{base}/out")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
 
 
 def latest(out: DataFrame, keys: list[str]) -> DataFrame:
