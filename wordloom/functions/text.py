@@ -101,8 +101,10 @@ def strip_markup(s: Column) -> Column:
     s = unescape(s)
     for pattern, by in BEFORE:
         s = F.regexp_replace(s, pattern, by)
+    inner = s
     for _ in range(NESTING):
-        s = F.regexp_replace(F.regexp_replace(s, TEMPLATE, " "), TABLE, " ")
+        inner = F.regexp_replace(F.regexp_replace(inner, TEMPLATE, " "), TABLE, " ")
+    s = F.when(s.contains("{{") | s.contains("{|"), inner).otherwise(s)
     for pattern, by in AFTER:
         s = F.regexp_replace(s, pattern, by)
     return s

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordloom.plans import tables
-from wordloom.session import table
+from wordloom.session import spread, table
 
 BOUNDARY_SQL = "[.!?;:\\n\\x{05C3}]|--"
 #: sent(doc_id, source, sent_id, s), toks(doc_id, source, sent_id, a), tok(doc_id, source, sent_id, pos, n, token).
@@ -27,7 +27,7 @@ BI = f"""{IDS}, adj AS (SELECT id AS first_id, lead(id) OVER (PARTITION BY doc_i
 
 
 def docs(spark, d):
-    return table(spark, d, "documents", "doc_id", "source", "text")
+    return spread(table(spark, d, "documents", "doc_id", "source", "text"))
 
 
 def sents(spark, d):
