@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordloom.llm import bpe
-from wordloom.session import table
+from wordloom.session import spread, table
 
 
 def p7_ids(spark, d):
-    return bpe.encode(table(spark, d, "documents", "doc_id", "text"))
+    return bpe.encode(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 def p7_tokens_by_source(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wordloom.llm import bpe, packing
-from wordloom.session import table
+from wordloom.session import spread, table
 
 
 def _limits(spark, d):
@@ -13,7 +13,7 @@ def _limits(spark, d):
 
 def _packed(spark, d):
     tokenizer, limits = _limits(spark, d)
-    sizes = bpe.count_tokens(table(spark, d, "documents", "doc_id", "text"), name=tokenizer)
+    sizes = bpe.count_tokens(spread(table(spark, d, "documents", "doc_id", "text")), name=tokenizer)
     return packing.pack(sizes, limits), limits
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from wordloom.llm import cutoffs
-from wordloom.session import table
+from wordloom.session import spread, table
 
 
 def _judged(spark, d):
-    return cutoffs.judge(table(spark, d, "documents", "doc_id", "text", "source", "n_chars"))
+    return cutoffs.judge(spread(table(spark, d, "documents", "doc_id", "text", "source", "n_chars")))
 
 
 def p9_found(spark, d):
