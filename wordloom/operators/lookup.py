@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.similarity import osa
 from wordloom.profiles import HEBREW, MIN_STEM, Profile
-from wordloom.session import small
+from wordloom.session import small, spread
 
 
 def ids(tokens: DataFrame, lex: DataFrame, token: str = "token") -> DataFrame:
@@ -64,7 +64,7 @@ def fuzzy(typed: DataFrame, lex: DataFrame, edits: int = 2, longest: int = 12) -
     """
     left = typed.select("typed").filter(F.length("typed").between(1, longest)).distinct()
     left = left.select("typed", F.explode(deletions(F.col("typed"), edits)).alias("form"))
-    right = lex.filter(F.length("word") <= longest).select("word_id", "word", "log_freq", F.explode(deletions(F.col("word"), edits)).alias("form"))
+    right = spread(lex.filter(F.length("word") <= longest)).select("word_id", "word", "log_freq", F.explode(deletions(F.col("word"), edits)).alias("form"))
     near = left.join(right, "form").filter(F.abs(F.length("typed") - F.length("word")) <= edits).select("typed", "word_id", "word", "log_freq").distinct()
     # The built-in distance counts a swap as two edits. It settles most pairs; the fold runs only where a swap is possible.
     lev, a, b = F.levenshtein("typed", "word"), F.split("typed", ""), F.split("word", "")
