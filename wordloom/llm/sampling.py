@@ -67,17 +67,21 @@ def weights(cells: DataFrame) -> DataFrame:
     """
 
     def run(draw: pd.DataFrame) -> pd.DataFrame:
-        n = draw.pivot_table(index="stratum", columns="margin", values="n", aggfunc="sum", fill_value=0)
-        goal = draw.groupby("stratum")["wanted"].max().reindex(n.index).to_numpy(float)
-        counts = n.to_numpy(float)
+        strata, i = np.unique(draw["stratum"].to_numpy(), return_inverse=True)
+        margins, j = np.unique(draw["margin"].to_numpy(), return_inverse=True)
+        counts, goal = np.zeros((len(strata), len(margins))), np.zeros(len(strata))
+        np.add.at(counts, (i, j), draw["n"].to_numpy(float))
+        np.maximum.at(goal, i, draw["wanted"].to_numpy(float))
         goal = np.minimum(goal, counts.sum(axis=1))
         share = counts.sum(axis=0) / max(counts.sum(), 1.0)
         fitted = rake(counts * (goal > 0)[:, None], goal, share * goal.sum())
         weight = np.divide(fitted, counts, out=np.zeros_like(counts), where=counts > 0)
         i, j = np.nonzero(counts)
-        return pd.DataFrame({"draw_id": draw["draw_id"].iloc[0], "stratum": n.index.to_numpy()[i], "margin": n.columns.to_numpy()[j], "weight": weight[i, j]})
+        return pd.DataFrame({"draw_id": draw["draw_id"].iloc[0], "stratum": strata[i], "margin": margins[j], "weight": weight[i, j]})
 
-    return cells.groupBy("draw_id").applyInPandas(run, "draw_id string, stratum string, margin string, weight double")
+    # A draw's few rows are much work: the number of tasks mustn't follow their bytes.
+    dealt = cells.repartition(max(cells.sparkSession.sparkContext.defaultParallelism, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "draw_id")
+    return dealt.groupBy("draw_id").applyInPandas(run, "draw_id string, stratum string, margin string, weight double")
 
 
 def _available(keys: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
