@@ -67,3 +67,23 @@ def test_forms_nulls(spark):
     assert [(r.key_a, r.key_b) for r in L.lookalike_pairs(L.form_prints(df)).collect()] == [("a", "b")]
     items = spark.createDataFrame([("a", None, None), ("b", None, None), ("c", [None], ["א"])], "id string, sentence array<string>, options array<string>")
     assert L.lookalike_pairs(L.item_prints(items)).count() == 0
+
+
+def test_whole_script_hebrew(spark, tmp_path):
+    from wordloom.llm import q1_lookalikes as Q
+
+    same_look = ["סוס", "оӀо", "olo", "oοо", "o\u200blо"]
+    assert {L.look_form(w) for w in same_look if w != "oοо"} == {"סוס"} and L.look_form("oοо") == "ססס"
+    assert L.look_form("וסוס, 1") == L.look_form("lolo, 1") and L.look_form("Olo lol-Email") == "Olo וסן-Email"
+    assert L.look_form("סו") != L.look_form("סן") == L.look_form("ol") and L.look_form(None) is None
+    words = ["סוס", "olo", "оӀо", "סון"]
+    items = spark.createDataFrame([(str(i), [w], ["א", w]) for i, w in enumerate(words)], "id string, sentence array<string>, options array<string>")
+    items.write.parquet(f"{tmp_path}/label_items.parquet")
+    forms = spark.createDataFrame([(str(i), w) for i, w in enumerate([*words, None, "שлום", "של", "שol"])], "form_id string, vocalized_inflection string")
+    forms.write.parquet(f"{tmp_path}/verb_forms.parquet")
+    pairs = {("0", "1"), ("0", "2"), ("1", "2")}
+    assert {tuple(r) for r in Q.p1_found(spark, str(tmp_path)).collect()} == {(t, *p) for t in ("label_items", "verb_forms") for p in pairs}
+    assert {r.id: r.class_id for r in Q.p1_classes(spark, str(tmp_path)).collect()} == {"0": "0", "1": "0", "2": "0", "3": "3"}
+    got = {r.form_id: (r.form, r.mixed, r.whole) for r in Q.p1_forms(spark, str(tmp_path)).collect()}
+    assert [got[str(i)] for i in range(5)] == [("סוס", False, True)] * 3 + [("סון", False, True), (None, None, None)]
+    assert got["6"] == ("של", False, False) and got["7"][1:] == (True, False)

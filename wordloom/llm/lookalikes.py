@@ -3,8 +3,10 @@
 Each token's characters are looked up in classes of look-alikes; a class lists at most one spelling per script. The
 script sets that the token's classes can be spelt in are intersected: a token whose characters are of several scripts
 but share one is mixed-script confusable and takes the spelling of the shared script; a token of one script that could
-wholly be spelt in another is whole-script confusable and keeps one fixed script's spelling. What is left (widths,
-fonts, ligatures, compositions, order of marks, invisible signs, kinds of blanks) is normalised.
+wholly be spelt in another is whole-script confusable and keeps one fixed script's spelling. In ``normal_form`` a Hebrew
+word stays Hebrew and a Latin one Latin even if either could be spelt in the other; ``look_form``, by which records are
+compared, spells both in Hebrew. What is left (widths, fonts, ligatures, compositions, order of marks, invisible signs,
+kinds of blanks) is normalised.
 """
 
 from __future__ import annotations
@@ -116,9 +118,10 @@ def _hebrew_stroke(token: str, i: int) -> str:
     return VAV if j < len(token) and script_of(token[j]) is not None else FINAL_NUN
 
 
-def _target(own: set[str], shared: frozenset[str]) -> str:
-    """The script to spell a run in: Hebrew if it has a Hebrew letter, else Latin if that can spell it, else the preferred one."""
-    if HEBREW in own and HEBREW in shared:
+def _target(own: set[str], shared: frozenset[str], by_look: bool = False) -> str:
+    """The script to spell a run in: Hebrew if it has a Hebrew letter, else Latin if that can spell it, else the preferred one.
+    ``by_look``: Hebrew wherever that can spell it, so that the script the run is in makes no difference."""
+    if HEBREW in shared and (by_look or HEBREW in own):
         return HEBREW
     return next((s for s in (LATIN, *PREFERENCE) if s in shared), min(shared))
 
@@ -135,10 +138,11 @@ def _spell(run: str, after: str, to: str) -> str:
     return "".join(out)
 
 
-def resolve(token: str) -> tuple[str, bool, bool]:
+def resolve(token: str, by_look: bool = False) -> tuple[str, bool, bool]:
     """(the token in its consistent script's spelling, mixed-script confusable, whole-script confusable).
 
-    A token no single script can spell is cut into the longest runs, from its start, that one script can.
+    A token no single script can spell is cut into the longest runs, from its start, that one script can. ``by_look``:
+    see ``_target``.
     """
     runs: list[tuple[str, set[str], frozenset[str]]] = []
     for ch in token:
@@ -154,11 +158,19 @@ def resolve(token: str) -> tuple[str, bool, bool]:
     rest, out = token, []
     for text, own, shared in runs:
         rest = rest[len(text) :]
-        out.append(_spell(text, rest, _target(own, shared)) if shared else text)
+        out.append(_spell(text, rest, _target(own, shared, by_look)) if shared else text)
     return "".join(out), mixed, whole
 
 
 _PLAIN = re.compile(r"[א-ת]+|[!-~]+")
+#: An ASCII token that Hebrew could spell.
+_HEBREW_LIKE = re.compile(r"(?<![0-9A-Za-z])[0-9]*[ol][0-9ol]*(?![0-9A-Za-z])")
+
+
+def _resolved(text: str, by_look: bool) -> list[tuple[str, bool, bool]]:
+    """``resolve`` of each token of a text, in order."""
+    bare = "".join(map(parts, text)).strip()
+    return [resolve(t, by_look) if len(t) > 1 or t.isalpha() else (t, False, False) for t in _tokens(unicodedata.normalize("NFC", bare).translate(_SPLIT))]
 
 
 def normal_form(text: str | None) -> str | None:
@@ -167,8 +179,25 @@ def normal_form(text: str | None) -> str | None:
         return None
     if _PLAIN.fullmatch(text):
         return text
-    bare = "".join(map(parts, text)).strip()
-    return unicodedata.normalize("NFC", "".join(resolve(t)[0] if len(t) > 1 or t.isalpha() else t for t in _tokens(unicodedata.normalize("NFC", bare).translate(_SPLIT))))
+    return unicodedata.normalize("NFC", "".join(t for t, _, _ in _resolved(text, False)))
+
+
+def look_form(text: str | None) -> str | None:
+    """``normal_form``, but a token that Hebrew can spell is spelt in Hebrew whichever script it is in: equal for texts that
+    look the same."""
+    if text is None:
+        return None
+    if _PLAIN.fullmatch(text) and not _HEBREW_LIKE.search(text):
+        return text
+    return unicodedata.normalize("NFC", "".join(t for t, _, _ in _resolved(text, True)))
+
+
+def flags(text: str | None) -> tuple[bool | None, bool | None]:
+    """(has a mixed-script confusable token, has a whole-script confusable one); nulls for a null."""
+    if text is None:
+        return None, None
+    found = _resolved(text, True)
+    return any(mixed for _, mixed, _ in found), any(whole for _, _, whole in found)
 
 
 #: NFC composes Latin, Greek and Cyrillic letters with marks; look-alikes are looked up by base letters, hence this is undone.
@@ -188,7 +217,7 @@ class Cache(dict):
     def __missing__(self, word):
         if len(self) >= self.most:
             self.clear()
-        self[word] = form = normal_form(word)
+        self[word] = form = look_form(word)
         return form
 
 
@@ -197,25 +226,30 @@ _CACHE = Cache()
 
 
 @F.pandas_udf(T.StringType())
-def normal_udf(texts: pd.Series) -> pd.Series:
+def look_udf(texts: pd.Series) -> pd.Series:
     cache = _CACHE
-    return pd.Series([cache[t] if t is None or len(t) < 64 else normal_form(t) for t in texts], dtype=object)
+    return pd.Series([cache[t] if t is None or len(t) < 64 else look_form(t) for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("mixed", T.BooleanType()), T.StructField("whole", T.BooleanType())]))
+def flags_udf(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([flags(t) for t in texts], columns=["mixed", "whole"], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def normal_words_udf(lists: pd.Series) -> pd.Series:
+def look_words_udf(lists: pd.Series) -> pd.Series:
     cache = _CACHE
     return pd.Series([None if x is None else [cache[w] for w in x] for x in lists], dtype=object)
 
 
 def normalized(text: Column) -> Column:
-    """Consistent form of a text column."""
-    return normal_udf(text)
+    """Consistent form of a text column, by which texts that look the same are equal."""
+    return look_udf(text)
 
 
 def normalized_words(words: Column) -> Column:
     """Consistent forms of the words of an array column; the array's order and nulls stay."""
-    return normal_words_udf(words)
+    return look_words_udf(words)
 
 
 def _list_key(words: Column) -> Column:

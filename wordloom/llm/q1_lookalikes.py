@@ -19,9 +19,10 @@ def p1_found(spark, d):
 
 
 def p1_forms(spark, d):
-    """Each distinct verb form with its consistent form."""
+    """Each distinct verb form with its consistent form, and whether it has tokens that are mixed-script or whole-script confusable."""
     df = table(spark, d, "verb_forms", "form_id", "vocalized_inflection").distinct()
-    return df.withColumn("form", L.normalized(F.col("vocalized_inflection")))
+    df = df.withColumn("form", L.normalized(F.col("vocalized_inflection"))).withColumn("f", L.flags_udf("vocalized_inflection"))
+    return df.select("form_id", "vocalized_inflection", "form", "f.mixed", "f.whole")
 
 
 def p1_classes(spark, d):
