@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bz2
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import content_hash
@@ -120,27 +122,24 @@ def q_src15_snk5_candidates(spark, d):
 
 @query()
 def q_src5_blocks(spark, d):
-    """Blocks packed one by one, one of them damaged."""
-    import bz2
-
+    """Every text packed as a block of its own, about one in sixteen cut short and as many with a wrong checksum, read again."""
     p = _place(spark, "blocks")
-    pack = F.pandas_udf(lambda s: s.map(lambda t: bz2.compress(t.encode())), "binary")
-    rows = docs(spark, d).groupBy("source").agg(F.max("text").alias("t")).filter("source IS NOT NULL").select("source", pack("t").alias("content"))
-    rows = rows.withColumn("content", F.when(_c("source") == "subtitles", F.substring("content", 1, 9)).otherwise(_c("content")))
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, harm: pd.Series) -> pd.Series:
+        out = []
+        for t, h in zip(texts, harm, strict=True):
+            c = bytearray(bz2.compress(t.encode()))
+            if h == 0:
+                del c[len(c) // 2 :]
+            elif h == 1:
+                c[12] ^= 255
+            out.append(bytes(c))
+        return pd.Series(out, dtype=object)
+
+    rows = docs(spark, d).filter("text IS NOT NULL").select("doc_id", "source", packed("text", F.pmod(F.xxhash64("doc_id"), F.lit(16))).alias("content"))
     rows.write.parquet(p)
-    import pandas as pd
-
-    def run(parts):
-        for x in parts:
-            ok = []
-            for c in x["content"]:
-                try:
-                    ok.append(len(bz2.decompress(c).decode()))
-                except (OSError, ValueError):
-                    ok.append(-1)
-            yield pd.DataFrame({"source": x["source"], "chars": ok})
-
-    return spark.read.parquet(p).mapInPandas(run, "source string, chars bigint")
+    return I.unpacked(spark.read.parquet(p), "doc_id", "source").select("doc_id", "source", "ok", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query()

@@ -31,8 +31,8 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.expr("try_cast(split(value, ':', 3)[0] AS BIGINT)").alias("offset")).filter("offset IS NOT NULL").distinct()
 
 
-def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ok, text) of independently compressed blocks, one file each; a damaged one is kept as not ok."""
+def unpacked(packed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ok, text) of independently compressed blocks (keys, content); a damaged one is kept as not ok."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
@@ -41,9 +41,15 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
                     out.append((True, bz2.decompress(c).decode("utf-8", "replace")))
                 except (OSError, ValueError):
                     out.append((False, None))
-            yield pd.DataFrame({"path": p["path"], "ok": [x[0] for x in out], "text": [x[1] for x in out]})
+            yield pd.DataFrame({**{k: p[k] for k in keys}, "ok": [x[0] for x in out], "text": [x[1] for x in out]})
+
+    rows = packed.select(*keys, "content")
+    return rows.mapInPandas(run, ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "ok boolean, text string"]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ok boolean, text string")
+
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ok, text) of independently compressed blocks, one file each; a damaged one is kept as not ok."""
+    return unpacked(spark.read.format("binaryFile").load(path), "path")
 
 
 def text_elements(xml: Column) -> Column:
