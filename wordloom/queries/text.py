@@ -201,6 +201,14 @@ def q_sim1_osa_one_edit(spark, d):
     return p.select("a", "b", F.levenshtein("a", "b").alias("lev"), S.osa(_c("a"), _c("b")).alias("osa")).filter("osa <= 100")
 
 
+@query(f"WITH p AS (SELECT p_partkey, p_name AS a FROM part), q AS (SELECT a, {_B1} AS b FROM p) SELECT DISTINCT a, b, levenshtein(a, b)::INT AS lev, damerau_levenshtein(a, b)::INT * 100 AS osa FROM q WHERE damerau_levenshtein(a, b) <= 1")
+def q_sim1_osa_whole_names(spark, d):
+    """As ``q_sim1_osa_one_edit``, over the whole names."""
+    p = table(spark, d, "part", "p_partkey", _c("p_name").alias("a"))
+    p = p.select("a", F.expr(_B1).alias("b")).distinct()
+    return p.select("a", "b", F.levenshtein("a", "b").alias("lev"), S.osa(_c("a"), _c("b")).alias("osa")).filter("osa <= 100")
+
+
 @query()
 def q_sim3_adjacent_cost(spark, d):
     k = table(spark, d, "label_keys", _c("typed").alias("a"), _c("other").alias("b")).distinct()
