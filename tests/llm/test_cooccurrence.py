@@ -49,3 +49,21 @@ def test_against_brute_force(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "obs_id bigint, session_id bigint, first_id int, second_id int, cnt bigint")
     assert C.above_chance(C.associations(df), 20).count() == 0
+
+
+def test_query_gives_every_pair(spark, tmp_path):
+    from wordloom.llm import q5_cooccurrence as Q
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(30), rnd.choice([0, 0, 0, 1, 2, 3, 30]), rnd.choice([0, 1, 2, 3, 4, 31]), rnd.choice([1, 1, 2, 50])) for i in range(2000)]
+    rows += [(9000 + i, i, 90, 91, 400) for i in range(4)] + [(9100, 1, 92, 0, 1)]
+    spark.createDataFrame(rows, "obs_id bigint, session_id bigint, first_id int, second_id int, cnt bigint").write.parquet(f"{tmp_path}/pair_log.parquet")
+    t, s, w, n = brute(rows)
+    got = {(r.first_id, r.second_id): r for r in Q.p5_associations(spark, str(tmp_path)).collect()}
+    assert set(got) == set(t)
+    for (a, b), r in got.items():
+        llr = max(g2(r.t, w[a], w[b], n), 0)
+        assert (r.t, r.s) == (t[a, b], len(s[a, b])) and abs(r.lift - r.t * n / (w[a] * w[b])) < 1e-6 and abs(r.llr - llr) < 1e-3
+        assert r.significant == (llr >= 10.83)
+    assert got[90, 91].s == 4 and got[90, 91].significant and got[90, 91].lift > 1 and got[0, 92].s == 1
+    assert any(r.lift <= 1 and r.significant for r in got.values()) and any(r.lift <= 1 and not r.significant for r in got.values())

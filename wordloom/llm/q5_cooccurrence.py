@@ -22,7 +22,14 @@ def p5_pairs(spark, d):
     return found.select("first_id", "second_id", "t", "s", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
+def p5_associations(spark, d):
+    """Every pair seen together, however rarely: its count, sessions, lift and log-likelihood ratio, and whether it is
+    significantly (p < 0.001) more or less often than chance."""
+    found = C.associations(_log(spark, d))
+    return found.select("first_id", "second_id", "t", "s", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"), (F.col("llr") >= 10.83).alias("significant"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_associations": p5_associations}
 _SQL = """WITH rows AS (SELECT DISTINCT obs_id, session_id, least(first_id, second_id) AS a, greatest(first_id, second_id) AS b, cnt FROM pair_log
     WHERE first_id >= 0 AND second_id >= 0 AND first_id <> second_id AND cnt > 0),
   pairs AS (SELECT a, b, sum(cnt)::BIGINT AS t, count(DISTINCT session_id) AS s FROM rows GROUP BY 1, 2),
