@@ -94,3 +94,29 @@ def test_blocks_drop_the_partial_one(spark):
     df = spark.range(25).select(F.col("id").alias("rn"))
     assert sorted({r.block for r in W.blocks(df, 10, 9).collect()}) == [0, 1]
     assert [r.rn for r in W.strided(df, 1, 7, 3).orderBy("rn").collect()] == [1, 8, 15]
+
+
+def test_fuzzy_finds_long_words(spark):
+    rnd = random.Random(5)
+    lex = sorted({"".join(rnd.choice("abא") for _ in range(n)) for n in (9, 10, 11, 12, 13, 14, 15, 20, 33) for _ in range(6)})
+    typed = {"".join(rnd.choice("abא") for _ in range(13)) for _ in range(10)} | {"x" * 200, ""}
+    for w in lex:
+        for _ in range(5):
+            x = list(w)
+            for _ in range(rnd.randrange(4)):
+                i = rnd.randrange(len(x) - 1)
+                x[i : i + 2] = rnd.choice([[x[i + 1], x[i]], [x[i]], [x[i], "c", x[i + 1]], ["c", x[i + 1]]])
+            typed.add("".join(x))
+    typed |= {w + "c" for w in lex if len(w) == 12}
+    for edits in (1, 2):
+        want = {(t, w): 100 * osa(t, w) for t in typed for w in lex if t and abs(len(t) - len(w)) <= edits and osa(t, w) <= edits}
+        rows = L.fuzzy(spark.createDataFrame([(t,) for t in sorted(typed)] + [(None,)], "typed string"), lexicon(spark, lex), edits).collect()
+        assert len(rows) == len(want) and {(r.typed, r.word): r.cost for r in rows} == want
+        assert any(len(t) > 12 for t, _ in want) and any(len(t) <= 12 < len(w) for t, w in want) and any(len(w) <= 12 < len(t) for t, w in want)
+
+
+def test_prefixes_of_any_length(spark):
+    lex = words(60) + ["", "abcabcabc", "abcabcabcd"]
+    ps = ["a", "ab", "abcabcab", "abcabcabc", "", "zz"]
+    got = {(r.prefix, r.word) for r in L.by_prefix(spark.createDataFrame([(p,) for p in ps], "prefix string"), lexicon(spark, lex), None).collect()}
+    assert got == {(p, w) for p in ps for w in lex if p and w.startswith(p)} and ("abcabcab", "abcabcabc") in got

@@ -37,10 +37,13 @@ def chains(words: DataFrame, lex: DataFrame, letters: str = "והבכלמש") ->
     return hits.groupBy("word").agg(F.max("n").alias("n")).select("word", F.expr("substring(word, 1, n)").alias("prefix"), F.expr("substring(word, n + 1)").alias("stem"))
 
 
-def by_prefix(prefixes: DataFrame, lex: DataFrame, lengths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def by_prefix(prefixes: DataFrame, lex: DataFrame, lengths: tuple[int, ...] | None = (1, 2, 3)) -> DataFrame:
     """(prefix, word_id, word, log_freq) of every word that begins with a prefix: one equi-join on each word's own beginnings.
-    Prefixes of other lengths than ``lengths`` find nothing."""
-    heads = F.array_compact(F.array(*(F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths)))
+    Prefixes of other lengths than ``lengths`` find nothing; None stands for all lengths from 1."""
+    if lengths is None:
+        heads = F.transform(F.when(F.length("word") > 0, F.sequence(F.lit(1), F.length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    else:
+        heads = F.array_compact(F.array(*(F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths)))
     words = lex.select("word_id", "word", "log_freq", F.explode(heads).alias("prefix"))
     return words.join(prefixes.select("prefix").distinct(), "prefix").select("prefix", "word_id", "word", "log_freq")
 
@@ -55,17 +58,47 @@ def deletions(word: Column, most: int = 2) -> Column:
     return out
 
 
+def _segment(i: int, n: Column, parts: int) -> tuple[Column, Column]:
+    """(start from 1, length) of the ``i``-th of ``parts`` segments that a word of ``n`` letters is cut into."""
+    lo, hi = F.floor(n * i / parts).cast("int"), F.floor(n * (i + 1) / parts).cast("int")
+    return lo + 1, hi - lo
+
+
+def _long_pairs(typed: DataFrame, lex: DataFrame, edits: int, longest: int) -> DataFrame:
+    """(typed, word_id, word, log_freq): candidates within ``edits`` edits of which a side has over ``longest`` letters.
+
+    An edit touches two neighbouring segments at most, a swap over their border, so of 2 * edits + 1 segments of a typed
+    word one is whole in each word near it, at most ``edits`` letters from its place. Words are cut for each length that
+    a typed word near them may have.
+    """
+    parts = 2 * edits + 1
+    long = lambda c: F.length(c) > longest - edits
+    def cut(word: str, n: Column, shift: int) -> Column:
+        out = []
+        for i in range(parts):
+            at, size = _segment(i, n, parts)
+            out.append(F.when((at + shift >= 1) & (at + shift + size <= F.length(word) + 1), F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(F.col(word), at + shift, size).alias("part"))))
+        return F.array_compact(F.array(*out))
+
+    left = typed.select("typed").filter(long("typed")).distinct().select("typed", F.explode(cut("typed", F.length("typed"), 0)).alias("seg"))
+    near = range(-edits, edits + 1)
+    segs = F.array_distinct(F.flatten(F.array(*(cut("word", F.length("word") + k, shift) for k in near for shift in near))))
+    right = lex.filter(long("word")).select("word_id", "word", "log_freq", F.explode(segs).alias("seg"))
+    return left.join(right, "seg").filter((F.length("typed") > longest) | (F.length("word") > longest)).select("typed", "word_id", "word", "log_freq").distinct()
+
+
 def fuzzy(typed: DataFrame, lex: DataFrame, edits: int = 2, longest: int = 12) -> DataFrame:
     """(typed, word_id, word, log_freq, cost): words within ``edits`` edits of each distinct typed word, cost in hundredths.
 
     Two words that near share a form that is left of both after as many deletions, so candidates come from one
-    equi-join; they are verified after duplicates are dropped. Words of over ``longest`` letters on either side find
-    nothing; empty and null ones neither. Nothing is cut off before ranking.
+    equi-join; they are verified after duplicates are dropped. Where a side has over ``longest`` letters, whose forms would
+    be many, candidates share a segment instead. Empty and null words find nothing. Nothing is cut off before ranking.
     """
     left = typed.select("typed").filter(F.length("typed").between(1, longest)).distinct()
     left = left.select("typed", F.explode(deletions(F.col("typed"), edits)).alias("form"))
     right = spread(lex.filter(F.length("word") <= longest)).select("word_id", "word", "log_freq", F.explode(deletions(F.col("word"), edits)).alias("form"))
     near = left.join(right, "form").filter(F.abs(F.length("typed") - F.length("word")) <= edits).select("typed", "word_id", "word", "log_freq").distinct()
+    near = near.union(_long_pairs(typed, lex, edits, longest))
     # The built-in distance counts a swap as two edits. It settles most pairs; the fold runs only where a swap is possible.
     lev, a, b = F.levenshtein("typed", "word"), F.split("typed", ""), F.split("word", "")
     swap = (F.size(F.array_except(a, b)) < edits) & (F.size(F.array_except(b, a)) < edits)

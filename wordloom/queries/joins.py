@@ -98,9 +98,11 @@ def q_join8_top3_fanout(spark, d):
     return L.by_prefix(p, lex(spark, d), (2, 3)).groupBy("prefix").agg(F.count("*").alias("words"), F.max("log_freq").alias("best"))
 
 
-def _oov(spark, d):
+def _oov(spark, d, longest=12):
+    """Unknown words of three letters or more; the SQL of the one-edit queries has none of over twelve."""
     known = lex(spark, d).select("word")
-    return _words(spark, d).filter(F.length("word").between(3, 12)).join(small(known), "word", "left_anti").select(_c("word").alias("typed"))
+    words = _words(spark, d).filter(F.length("word") >= 3)
+    return (words if longest is None else words.filter(F.length("word") <= longest)).join(small(known), "word", "left_anti").select(_c("word").alias("typed"))
 
 
 _ONE = f"""oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token WHERE length(token) BETWEEN 3 AND 12),
@@ -118,7 +120,7 @@ def q_join9_fuzzy_one_edit(spark, d):
 
 @query()
 def q_join9_fuzzy_two_edits(spark, d):
-    return L.fuzzy(_oov(spark, d), lex(spark, d), edits=2)
+    return L.fuzzy(_oov(spark, d, None), lex(spark, d), edits=2)
 
 
 _SWAP = f"swaps(a, b) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for x in HEBREW.confusions for a, b in (x, x[::-1]))})"

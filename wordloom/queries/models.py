@@ -44,12 +44,12 @@ def q_mod2_top1_suggest_1edit(spark, d):
 
 @query()
 def q_mod2_suggest_2edit(spark, d):
-    return R.suggestions(R.candidates(_oov(spark, d), lex(spark, d), 2)).select("typed", "word", "cost", "rank")
+    return R.suggestions(R.candidates(_oov(spark, d, None), lex(spark, d), 2)).select("typed", "word", "cost", "rank")
 
 
 @query()
 def q_mod3_rerank(spark, d):
-    return R.suggestions(R.reranked(R.candidates(_oov(spark, d), lex(spark, d), 2))).select("typed", "word", "cost", "rank")
+    return R.suggestions(R.reranked(R.candidates(_oov(spark, d, None), lex(spark, d), 2))).select("typed", "word", "cost", "rank")
 
 
 @query(f"WITH {TOK}, {_BAD} SELECT t AS typed, max(word) AS word FROM bad GROUP BY t HAVING count(*) = 1 AND max(log_freq) > 0")
@@ -117,22 +117,34 @@ def q_mod11_attribution(spark, d):
   SELECT bare, word, kind, row_number() OVER (PARTITION BY bare ORDER BY place) AS rank FROM u QUALIFY rank <= 3""")
 def q_mod7_abbreviation(spark, d):
     """An abbreviation leads where its letters are no word, else it comes second."""
+    return _abbreviations(spark, d, (1, 2, 3))
+
+
+def _abbreviations(spark, d, lengths):
     a, l = abbr(spark, d), lex(spark, d)
     k = a.join(l.select(_c("word").alias("w")), _c("bare") == _c("w"), "left").select("bare", "canonical", _c("w").isNotNull().alias("is_word"))
-    c = L.by_prefix(a.select(_c("bare").alias("prefix")), l).filter("word <> prefix").withColumnRenamed("prefix", "bare")
+    c = L.by_prefix(a.select(_c("bare").alias("prefix")), l, lengths).filter("word <> prefix").withColumnRenamed("prefix", "bare")
     c = R.top(c, ["bare"], [F.desc("log_freq"), _c("word_id")], 3)
     u = k.select("bare", _c("canonical").alias("word"), F.lit("ABBREVIATION").alias("kind"), F.when(_c("is_word"), 15).otherwise(0).alias("place"))
     u = u.unionByName(c.select("bare", "word", F.lit("COMPLETION").alias("kind"), (_c("rank") * 10).alias("place")))
     return R.top(u, ["bare"], [_c("place")], 3).select("bare", "word", "kind", "rank")
 
 
+@query(f"""WITH {_AB}, one AS (SELECT bare, max(canonical) AS canonical FROM abbr GROUP BY bare HAVING count(*) = 1), c AS (SELECT bare, word, row_number() OVER (PARTITION BY bare ORDER BY log_freq DESC, word_id) AS rank FROM one JOIN lexicon ON starts_with(word, bare) AND word <> bare),
+  k AS (SELECT bare, canonical, bare IN (SELECT word FROM lexicon) AS is_word FROM one), u AS (SELECT bare, canonical AS word, 'ABBREVIATION' AS kind, CASE WHEN is_word THEN 15 ELSE 0 END AS place FROM k UNION ALL SELECT bare, word, 'COMPLETION', rank * 10 FROM c WHERE rank <= 3)
+  SELECT bare, word, kind, row_number() OVER (PARTITION BY bare ORDER BY place) AS rank FROM u QUALIFY rank <= 3""")
+def q_mod7_abbreviation_any_length(spark, d):
+    """As ``q_mod7_abbreviation``, with completions of abbreviations of any length."""
+    return _abbreviations(spark, d, None)
+
+
 _MIX = f"""fix AS (SELECT t AS typed, word, row_number() OVER (PARTITION BY t ORDER BY log_freq DESC, word_id) AS rank FROM bad QUALIFY rank <= 3),
   fin AS (SELECT DISTINCT t AS typed, l.word, log_freq, l.word_id FROM (SELECT DISTINCT t FROM bad) b JOIN lexicon l ON starts_with(l.word, t) AND l.word <> t), fin3 AS (SELECT typed, word, row_number() OVER (PARTITION BY typed ORDER BY log_freq DESC, word_id) AS rank FROM fin QUALIFY rank <= 3)"""
 
 
 def _mix(spark, d, policy):
     cand = materialize(R.candidates(_oov(spark, d), lex(spark, d), 1), "mix")
-    fin = L.by_prefix(cand.select(_c("typed").alias("prefix")), lex(spark, d), (3, 4, 5, 6, 7)).filter("word <> prefix").withColumnRenamed("prefix", "typed")
+    fin = L.by_prefix(cand.select(_c("typed").alias("prefix")), lex(spark, d), None).filter("word <> prefix").withColumnRenamed("prefix", "typed")
     return R.mixed(R.top(fin, ["typed"], [F.desc("log_freq"), _c("word_id")], 3), R.suggestions(cand), policy)
 
 
@@ -218,10 +230,14 @@ def q_top7_stm8_evict(spark, d):
 @query(f"""WITH {BI}, {_PREFIX}, w AS (SELECT DISTINCT token FROM tok WHERE length(token) BETWEEN 4 AND 8), c AS (SELECT token, prefix, substr(token, length(prefix) + 1, 2) AS head FROM w JOIN prefixes ON starts_with(token, prefix) AND length(token) >= length(prefix) + 2),
   f AS (SELECT substr(word, 1, 2) AS head, word, log_freq FROM lexicon QUALIFY row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY log_freq DESC, word_id) <= 3) SELECT token, prefix || word AS completion, log_freq, row_number() OVER (PARTITION BY token ORDER BY log_freq DESC, prefix || word, prefix) AS rank FROM c JOIN f USING (head) QUALIFY rank <= 3""")
 def q_mod18_prefix_completion(spark, d):
-    """After each prefix of a word, completions of two letters of the rest."""
+    """After each prefix of a word of four to eight letters, completions of two letters of the rest."""
+    return _after_prefixes(spark, d, _words(spark, d).filter(F.length("word").between(4, 8)))
+
+
+def _after_prefixes(spark, d, words):
     from wordloom.profiles import HEBREW
 
-    w = _words(spark, d).filter(F.length("word").between(4, 8)).withColumnRenamed("word", "token")
+    w = words.withColumnRenamed("word", "token")
     options = F.array_compact(F.array(*(F.when(_c("token").startswith(x) & (F.length("token") >= len(x) + 2), F.lit(x)) for x in HEBREW.prefixes)))
     c = w.select("token", F.explode(options).alias("p")).withColumn("prefix", F.expr("substring(token, length(p) + 1, 2)"))
     f = R.top(L.by_prefix(c, lex(spark, d), (2,)), ["prefix"], [F.desc("log_freq"), _c("word_id")], 3, "k")
@@ -229,6 +245,13 @@ def q_mod18_prefix_completion(spark, d):
     return R.top(rows, ["token"], [F.desc("log_freq"), _c("completion"), _c("p")], 3).select("token", "completion", "log_freq", "rank")
 
 
+@query(f"""WITH {BI}, {_PREFIX}, w AS (SELECT DISTINCT token FROM tok), c AS (SELECT token, prefix, substr(token, length(prefix) + 1, 2) AS head FROM w JOIN prefixes ON starts_with(token, prefix) AND length(token) >= length(prefix) + 2),
+  f AS (SELECT substr(word, 1, 2) AS head, word, log_freq FROM lexicon QUALIFY row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY log_freq DESC, word_id) <= 3) SELECT token, prefix || word AS completion, log_freq, row_number() OVER (PARTITION BY token ORDER BY log_freq DESC, prefix || word, prefix) AS rank FROM c JOIN f USING (head) QUALIFY rank <= 3""")
+def q_mod18_prefix_completion_any_length(spark, d):
+    """As ``q_mod18_prefix_completion``, of words of any length."""
+    return _after_prefixes(spark, d, _words(spark, d))
+
+
 @query(f"""WITH {BI}, s AS (SELECT first_id, second_id, log_count, lead(log_count) OVER w AS n2, row_number() OVER w AS k FROM bi WINDOW w AS (PARTITION BY first_id ORDER BY log_count DESC, second_id)) SELECT first_id, second_id, log_count - coalesce(n2, 0) AS margin FROM s WHERE k = 1 AND log_count >= 28 AND log_count - coalesce(n2, 0) >= 2""")
 def q_mod19_offer(spark, d):
     """Next words offered only where they score well and lead the second."""
