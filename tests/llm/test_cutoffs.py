@@ -82,3 +82,20 @@ def test_automaton():
     assert [s for s, _ in cutoffs.left_open("```\n( [ \"")] == ["```"]
     assert cutoffs.left_open("צה\"ל נ\"ב") == []
     cutoffs.end_of("(" * 200_000)
+
+
+def test_cuts_do_not_lift_the_baseline(spark):
+    """A source that closes its texts but cuts many at a field limit, in markup or short of their figure."""
+    rows = corpus()
+    base = "rain fell on the old town and the show was long and we went home after the show "
+    rows += [(3000 + i, t, "mail", None) for i, t in enumerate(whole(200))]
+    rows += [(3300 + i, (f"{i} " + FILL[i % 4] + " " + base * 3)[:150], "mail", None) for i in range(60)]
+    rows += [(3400 + i, "rain and " * (i + 1) + f"wind (number {i}", "mail", None) for i in range(30)]
+    rows += [(3500 + i, f"{i} " + "then " * (2 * i) + "we went home after the show", "mail", 900) for i in range(30)]
+    late = [(3600 + i, f"Number {i}. " + "Rain fell. " * (3 * i) + "We went home after the show", "mail", None) for i in range(5)]
+    df = spark.createDataFrame(rows + late, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {r.doc_id: r.why for r in cutoffs.judge(df).collect()}
+    assert [got[i] for i, *_ in late] == ["unclosed"] * 5
+    assert not [i for i, w in got.items() if w and i < 3300]
+    assert {got[3300 + i] for i in range(60)} <= {"limit", "unclosed"} and {got[3500 + i] for i in range(30)} == {"figure"}
+    assert {got[3400 + i] for i in range(30)} <= {"open", "limit"}

@@ -2,7 +2,7 @@
 
 A stack automaton reads each text for what is still open at its end (quotes, brackets, markup, code fences, entities,
 multi-byte sequences), and the end itself for a closing sign. What a missing closing sign means is told by the source's
-own baseline over all its texts: where nearly every text closes, a text that doesn't is cut; where many don't, it is cut
+own baseline over its texts that nothing else shows to be cut: where nearly every text closes, a text that doesn't is cut; where many don't, it is cut
 only if something else says so: something left open, a last word that in the corpus never ends a sentence (or is no
 word), a length at which the source's unclosed texts pile up, or a sender's figure of more characters than came.
 """
@@ -23,7 +23,7 @@ from wordloom.session import materialize, small
 CLOSING = ".!?…‽。！？׃♪"
 #: Signs after which a text goes on (fixed values).
 DANGLING = ",;:–—-(/\\&@#=+*<{[|_،"
-#: Below this share of unclosed texts a source's texts are expected to close.
+#: Below this share of unclosed texts, of those that nothing else shows to be cut, a source's texts are expected to close.
 BASELINE = 0.25
 #: A word ends sentences if at least this share of its occurrences before the text's end does.
 ENDER = 0.02
@@ -178,9 +178,19 @@ def judge(docs: DataFrame) -> DataFrame:
     feats = docs.select("doc_id", "source", "n_chars", F.xxhash64("text").alias("hash"), features_udf("text").alias("f")).select("doc_id", "source", "n_chars", "hash", "f.*").dropDuplicates(["doc_id"])
     feats = materialize(feats, "p9-features")
     key = F.coalesce("source", F.lit(""))
-    base = feats.filter("NOT blank").groupBy(key.alias("s")).agg((F.count_if(~F.col("closed") & ~F.col("item")) / F.count("*")).alias("unclosed_share"))
+    limit = materialize(at_limits(feats).withColumn("limit", F.lit(True)), "p9-limit")
+    open_end = ~F.col("closed")
+    figure = (F.col("n_chars") > F.col("chars")) & (F.col("n_chars") != F.col("bytes")) & (F.col("n_chars") != F.col("units"))
+    evident = (
+        F.when(F.col("broken"), "broken")
+        .when(F.coalesce(figure, F.lit(False)), "figure")
+        .when(F.coalesce("limit", F.lit(False)), "limit")
+        .when(open_end & F.col("open"), "open")
+    )
+    # Cuts that something else explains say nothing about how a source's whole texts end.
+    base = feats.filter("NOT blank").join(limit, "doc_id", "left").filter(evident.isNull())
+    base = base.groupBy(key.alias("s")).agg((F.count_if(open_end & ~F.col("item")) / F.count("*")).alias("unclosed_share"))
     base = small(materialize(base, "p9-baseline"))
-    limit = at_limits(feats).withColumn("limit", F.lit(True))
     rest = feats.filter("NOT blank AND NOT closed AND last IS NOT NULL")
     words = materialize(word_ends(docs).join(rest.select(F.col("last").alias("word")).distinct(), "word", "left_semi"), "p9-words")
     n_rest = rest.join(limit, "doc_id", "left_anti").select("last", "hash").distinct().groupBy("last").count()
@@ -188,14 +198,9 @@ def judge(docs: DataFrame) -> DataFrame:
     signs = n_rest.select(F.col("last").alias("word"), F.col("count").alias("n_off"))
     words = words.join(signs, "word", "left").select("word", ((F.col("n_end") >= F.greatest(F.lit(1.0), ENDER * F.col("n"))) | (F.coalesce("n_off", F.lit(0)) >= max(3.0, SIGN_OFF * total))).alias("ender"))
     df = feats.join(limit, "doc_id", "left").join(base, key == F.col("s"), "left").join(words, F.col("last") == F.col("word"), "left")
-    open_end = ~F.col("closed")
-    figure = (F.col("n_chars") > F.col("chars")) & (F.col("n_chars") != F.col("bytes")) & (F.col("n_chars") != F.col("units"))
     why = (
         F.when(F.col("blank"), None)
-        .when(F.col("broken"), "broken")
-        .when(F.coalesce(figure, F.lit(False)), "figure")
-        .when(F.coalesce("limit", F.lit(False)), "limit")
-        .when(open_end & F.col("open"), "open")
+        .when(evident.isNotNull(), evident)
         .when(open_end & ~F.col("item") & (F.col("unclosed_share") < BASELINE), "unclosed")
         .when(open_end & F.col("last").isNotNull() & ~F.coalesce("ender", F.lit(False)), "word")
     )
