@@ -97,3 +97,12 @@ def test_manifest_keeps_both_sides(spark):
     stats = spark.createDataFrame([("a", 1, 1), ("c", 5, None)], "src_file string, rows_read bigint, rows_rejected bigint")
     got = {r.src_file: r for r in rawrows.against_manifest(rawrows.parse_records(df), stats).collect()}
     assert got["a"].agrees and got["b"].agrees is None and got["c"].n_read is None and set(got) == {"a", "b", "c"}
+
+
+def test_first_broken_field_in_a_query(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [("f", 2, "כתב,כתב,x,1,2024-01-01,"), ("f", 3, "כתב,כתב,x,-1,2024-01-01,"), ("f", 4, "כתב,כתב,x,1,2024-13-01,"), ("f", 5, 'כתב,"כתב,x,1,2024-01-01,'), ("f", 6, None)]
+    spark.createDataFrame(rows, "src_file string, line_no bigint, raw string").write.parquet(f"{tmp_path}/verb_raw.parquet")
+    got = {r.line_no: (r.reason, r.broken_field) for r in entry.queries()["p2_broken_fields"](spark, str(tmp_path)).collect()}
+    assert got == {3: ("value", 4), 4: ("value", 5), 5: ("quoting", 2), 6: ("columns", 1)}

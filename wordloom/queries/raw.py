@@ -10,6 +10,11 @@ def p2_found(spark, d):
     return rawrows.broken(table(spark, d, "verb_raw", "src_file", "line_no", "raw")).select("src_file", "line_no", "reason")
 
 
+def p2_broken_fields(spark, d):
+    """As ``p2_found``, with the position of the first broken field (one past the last if there is more than the fields)."""
+    return rawrows.broken(table(spark, d, "verb_raw", "src_file", "line_no", "raw"))
+
+
 def p2_loaded(spark, d):
     return rawrows.loaded(table(spark, d, "verb_raw", "src_file", "line_no", "raw"))
 
@@ -19,7 +24,7 @@ def p2_manifest(spark, d):
     return rawrows.against_manifest(parsed, table(spark, d, "parse_stats", "src_file", "rows_read", "rows_rejected"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p2_manifest": p2_manifest}
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p2_manifest": p2_manifest, "p2_broken_fields": p2_broken_fields}
 
 _F = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
 _RECORDS = f"""
