@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.similarity import osa
 from wordloom.profiles import HEBREW, MIN_STEM, Profile
-from wordloom.session import small, spread
+from wordloom.session import materialize, small, spread
 
+#: Places that the words which share a form of one letter or none are split over.
+PARTS = 16
 
-def ids(tokens: DataFrame, lex: DataFrame, token: str = "token") -> DataFrame:
-    """``tokens`` with the lexicon id of each, null where it has none."""
-    side = small(lex.select(F.col("word").alias("_w"), F.col("word_id").alias("id")))
-    return tokens.join(side, F.col(token) == F.col("_w"), "left").drop("_w")
+
+def ids(tokens: DataFrame, lex: DataFrame, token: str = "token", id_: str = "id", **more: str) -> DataFrame:
+    """``tokens`` with the lexicon id ``id_`` of the word in column ``token``, null where it has none; ``more`` names further
+    ids and the columns of their words, which are dropped."""
+    side = small(lex.select("word", "word_id"))
+    out = tokens
+    for name, column in {id_: token, **more}.items():
+        word = side.select(F.col("word").alias("_w"), F.col("word_id").alias(name))
+        out = out.join(word, F.col(column) == F.col("_w"), "left").drop("_w")
+    return out.drop(*more.values())
 
 
 def stems(words: DataFrame, lex: DataFrame, p: Profile = HEBREW, min_stem: int = MIN_STEM) -> DataFrame:
@@ -37,9 +45,10 @@ def chains(words: DataFrame, lex: DataFrame, letters: str = "והבכלמש") ->
     return hits.groupBy("word").agg(F.max("n").alias("n")).select("word", F.expr("substring(word, 1, n)").alias("prefix"), F.expr("substring(word, n + 1)").alias("stem"))
 
 
-def by_prefix(prefixes: DataFrame, lex: DataFrame, lengths: tuple[int, ...] | None = (1, 2, 3)) -> DataFrame:
+def by_prefix(prefixes: DataFrame, lex: DataFrame, lengths: tuple[int, ...] | None = None) -> DataFrame:
     """(prefix, word_id, word, log_freq) of every word that begins with a prefix: one equi-join on each word's own beginnings.
-    Prefixes of other lengths than ``lengths`` find nothing; None stands for all lengths from 1."""
+    Prefixes may have any length from 1. A caller who knows the lengths of all ``prefixes`` may name them: shorter and longer
+    beginnings are then not made."""
     if lengths is None:
         heads = F.transform(F.when(F.length("word") > 0, F.sequence(F.lit(1), F.length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))
     else:
@@ -53,7 +62,7 @@ def deletions(word: Column, most: int = 2) -> Column:
     out = F.array(word)
     level = out
     for _ in range(most):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1_000)))))))
+        level = F.array_distinct(F.flatten(F.transform(level, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))))
         out = F.array_union(out, level)
     return out
 
@@ -95,9 +104,12 @@ def fuzzy(typed: DataFrame, lex: DataFrame, edits: int = 2, longest: int = 12) -
     be many, candidates share a segment instead. Empty and null words find nothing. Nothing is cut off before ranking.
     """
     left = typed.select("typed").filter(F.length("typed").between(1, longest)).distinct()
-    left = left.select("typed", F.explode(deletions(F.col("typed"), edits)).alias("form"))
+    # Very short forms are left of many words: those of one typed word meet all others' in one of several places.
+    short = F.length("form") <= 1
+    left = left.select("typed", F.explode(deletions(F.col("typed"), edits)).alias("form")).withColumn("part", F.when(short, F.pmod(F.hash("typed"), F.lit(PARTS))).otherwise(0))
     right = spread(lex.filter(F.length("word") <= longest)).select("word_id", "word", "log_freq", F.explode(deletions(F.col("word"), edits)).alias("form"))
-    near = left.join(right, "form").filter(F.abs(F.length("typed") - F.length("word")) <= edits).select("typed", "word_id", "word", "log_freq").distinct()
+    right = right.withColumn("part", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    near = left.join(right, ["form", "part"]).filter(F.abs(F.length("typed") - F.length("word")) <= edits).select("typed", "word_id", "word", "log_freq").distinct()
     near = near.union(_long_pairs(typed, lex, edits, longest))
     # The built-in distance counts a swap as two edits. It settles most pairs; the fold runs only where a swap is possible.
     lev, a, b = F.levenshtein("typed", "word"), F.split("typed", ""), F.split("word", "")
@@ -112,7 +124,7 @@ def swapped(word: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     both = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
     def at(i: Column) -> Column:
         c = F.substring(word, i, F.lit(1))
-        return F.array_compact(F.array(*(F.when(c == a, F.concat(F.substring(word, F.lit(1), i - 1), F.lit(b), F.substring(word, i + 1, F.lit(1_000)))) for a, b in both)))
+        return F.array_compact(F.array(*(F.when(c == a, F.concat(F.substring(word, F.lit(1), i - 1), F.lit(b), F.substring(word, i + 1, F.length(word)))) for a, b in both)))
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), at)))
 
@@ -127,7 +139,7 @@ def confusions(words: DataFrame, lex: DataFrame, p: Profile = HEBREW) -> DataFra
 def dropped_twins(lex: DataFrame, letters: str = "וי") -> DataFrame:
     """(word, twin): pairs of known words of which one lacks a vowel letter of the other."""
     spots = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.lit(1)).isin(*letters))
-    cut = F.transform(spots, lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.lit(1_000))))
+    cut = F.transform(spots, lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
     cand = lex.select("word", F.explode(F.array_distinct(cut)).alias("twin"))
     return cand.join(small(lex.select(F.col("word").alias("twin"))), "twin", "left_semi").select("word", "twin")
 
@@ -157,15 +169,26 @@ def overlaps(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, take: list[str]) -> DataFrame:
     """Each left row with ``take`` of the last right row of its key at or before it, null if there is none.
 
-    One shuffle by key and one running window over both sides' rows; no pair is compared. Of right rows at the same
-    time the greatest by ``take`` is last. Rows without a time come first and find nothing; they are no right rows.
+    Both sides' rows are put into ranges of key and time, and each range is run through once; no pair is compared. A key
+    of many rows lies in several ranges: what it has seen by the end of each is carried into the next, at most two rows a
+    range. Of right rows at the same time the greatest by ``take`` is last. Rows without a time come first and find
+    nothing; they are no right rows. Left rows without a key find nothing.
     """
-    a = left.withColumn("_side", F.lit(1)).withColumn("_take", F.lit(None).cast(f"struct<{','.join(f'`{c}`:{right.schema[c].dataType.simpleString()}' for c in take)}>"))
-    b = right.filter(F.col(at).isNotNull()).select(by, at, F.lit(0).alias("_side"), F.struct(*take).alias("_take"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(F.col(at).asc_nulls_first(), "_side", "_take").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_take", ignorenulls=True).over(w)).filter("_side = 1")
-    return found.select(*left.columns, *(F.col(f"_last.{c}").alias(f"last_{c}") for c in take))
+    kind = f"struct<{','.join(f'`{c}`:{right.schema[c].dataType.simpleString()}' for c in take)}>"
+    a = left.withColumn("_side", F.lit(1)).withColumn("_take", F.lit(None).cast(kind))
+    b = right.filter(F.col(at).isNotNull() & F.col(by).isNotNull()).select(by, at, F.lit(0).alias("_side"), F.struct(*take).alias("_take"))
+    order = [F.col(at).asc_nulls_first(), "_side", "_take"]
+    both = a.unionByName(b, allowMissingColumns=True).repartitionByRange(by, *order)
+    both = materialize(both.withColumn("_p", F.spark_partition_id()), "as-of")
+    w = Window.partitionBy("_p", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_last", F.last("_take", ignorenulls=True).over(w)).filter("_side = 1")
+    ends = both.filter(F.col(by).isNotNull()).groupBy(by, "_p").agg(F.max(F.when(F.col("_side") == 0, F.struct(at, "_take"))).alias("_end"))
+    several = ends.withColumn("_n", F.count("*").over(Window.partitionBy(by))).filter("_n > 1")
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = several.select(by, "_p", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    found = own.join(F.broadcast(carried.select(F.col(by).alias("_k"), F.col("_p").alias("_q"), "_before")), (F.col(by) == F.col("_k")) & (F.col("_p") == F.col("_q")), "left")
+    last = F.coalesce("_last", F.when(F.col(at).isNotNull(), F.col("_before")["_take"]))
+    return found.withColumn("_found", last).select(*left.columns, *(F.col(f"_found.{c}").alias(f"last_{c}") for c in take))
 
 
 def nearest_key(rects: list[tuple[str, int, float, float, float, float]], x: Column, y: Column) -> Column:

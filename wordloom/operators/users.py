@@ -28,8 +28,17 @@ def gated(pairs: DataFrame, sessions: int = MIN_SESSIONS) -> DataFrame:
 
 def evicted(pairs: DataFrame, capacity: int = USER_CAPACITY, retain: float = RETAIN) -> DataFrame:
     """What a user's model keeps: everything up to the capacity; beyond it the share ``retain`` of the capacity, most
-    sessions first, then counts, then the lesser ids."""
-    w = Window.partitionBy("user_id")
-    best = w.orderBy(F.desc("sessions"), F.desc("cnt"), "first_id", "second_id")
-    ranked = pairs.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(best))
-    return ranked.filter((F.col("_n") <= capacity) | (F.col("_k") <= int(capacity * retain))).drop("_n", "_k")
+    sessions first, then counts, then the lesser ids.
+
+    Users beyond the capacity are told apart by a count. Their pairs are ranked in parts first, as many as the pairs are
+    times the capacity, and what a part can't lose is ranked as a whole: no task sorts all pairs of a user.
+    """
+    keep = int(capacity * retain)
+    order = [F.desc("sessions"), F.desc("cnt"), "first_id", "second_id"]
+    n = pairs.groupBy("user_id").agg(F.count("*").alias("_n"))
+    sized = pairs.join(n, "user_id")
+    over = sized.filter(F.col("_n") > capacity)
+    part = F.pmod(F.hash("first_id", "second_id"), F.ceil(F.col("_n") / max(capacity, 1)).cast("int"))
+    over = over.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("user_id", "_part").orderBy(*order))).filter(F.col("_k") <= keep)
+    over = over.withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).filter(F.col("_k") <= keep)
+    return sized.filter(F.col("_n") <= capacity).select(*pairs.columns).unionByName(over.select(*pairs.columns))

@@ -7,19 +7,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries per block, and parts that the rows are dealt into.
-BLOCK, PARTS = 512, 32
+#: Queries per block, and rows per part.
+BLOCK, PART_ROWS = 512, 20_000
 
 
 def top_dot(queries: DataFrame, rows: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score): of each query the ``k`` rows of the largest dot product, itself left out, ties by id.
 
     Blocks of queries meet parts of the rows in a grouped map, where one matrix product scores both; a part passes on
-    k rows per query. Rows with a null vector match nothing. Vectors are of one length.
+    k rows per query. There are as many parts as the rows need, so a part's memory doesn't grow with them. Rows with a
+    null vector match nothing. Vectors are of one length.
     """
     n = max(1, -(-queries.count() // BLOCK))
-    q = queries.filter(F.col(vector).isNotNull()).select(F.pmod(F.hash(id_), F.lit(n)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col(id_).alias("id"), F.col(vector).alias("v"))
-    r = rows.filter(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64(id_), F.lit(PARTS)).cast("int").alias("part"), F.col(id_).alias("id"), F.col(vector).alias("v"))
+    parts_ = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    q = queries.filter(F.col(vector).isNotNull()).select(F.pmod(F.hash(id_), F.lit(n)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts_ - 1))).alias("part"), F.col(id_).alias("id"), F.col(vector).alias("v"))
+    r = rows.filter(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64(id_), F.lit(parts_)).cast("int").alias("part"), F.col(id_).alias("id"), F.col(vector).alias("v"))
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -12,7 +12,7 @@ from wordloom.functions.hashing import content_hash
 from wordloom.plans import checks as C
 from wordloom.plans import tables as T
 from wordloom.queries.common import BI, bi, docs, lex, sents
-from wordloom.session import shared_dir, table
+from wordloom.session import materialize, scratch, table
 from wordloom.sources import readers as I
 from wordloom.sources import sinks as O
 from wordloom.streaming import typing as ST
@@ -31,27 +31,23 @@ def query(sql=None):
     return add
 
 
-def _place(spark, name):
-    return f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT word, cnt FROM lexicon WHERE cnt >= 5")
 def q_src2_snk1_word_counts(spark, d):
-    p = _place(spark, "counts")
+    p = scratch(spark, "counts")
     O.sorted_lines(lex(spark, d), F.concat_ws(" ", "word", "cnt"), p, "word")
     return I.word_counts(spark, p, 5)[0]
 
 
 @query("SELECT count(*) AS read, 0::BIGINT AS malformed, count(*) FILTER (cnt < 5) AS below FROM lexicon")
 def q_src2_counters(spark, d):
-    p = _place(spark, "counts")
+    p = scratch(spark, "counts")
     O.sorted_lines(lex(spark, d), F.concat_ws(" ", "word", "cnt"), p, "word")
     return I.word_counts(spark, p, 5)[1]
 
 
 @query("SELECT DISTINCT form_id, base_form FROM verb_forms WHERE morphology LIKE '%PAST%' AND base_form IS NOT NULL")
 def q_src3_json_array(spark, d):
-    p = _place(spark, "array")
+    p = scratch(spark, "array")
     f = table(spark, d, "verb_forms", "form_id", "base_form", "morphology").filter("base_form IS NOT NULL").distinct()
     f.select(F.concat(F.to_json(F.struct("form_id", "base_form", "morphology")), F.lit(",")).alias("value")).write.text(p)
     return I.json_array_lines(spark, p, "form_id string, base_form string, morphology string", "PAST").filter(_c("morphology").contains("PAST")).select("form_id", "base_form")
@@ -59,7 +55,7 @@ def q_src3_json_array(spark, d):
 
 @query("SELECT DISTINCT doc_id // 100 * 1000 AS \"offset\" FROM documents")
 def q_src4_offsets(spark, d):
-    p = _place(spark, "index")
+    p = scratch(spark, "index")
     docs(spark, d).select(F.concat_ws(":", (F.floor(_c("doc_id") / 100) * 1000).cast("string"), "doc_id", "source").alias("value")).write.text(p)
     return I.offsets(spark, p)
 
@@ -73,21 +69,21 @@ def q_src6_text_elements(spark, d):
 
 @query("""WITH s AS (SELECT unnest(string_split_regex(text, '[.!?;:\\n\\x{05C3}]|--')) AS s FROM documents), t AS (SELECT array_to_string(regexp_extract_all(s, '[א-ת]+'), ' ') AS line, len(regexp_extract_all(s, '[א-ת]+')) AS n FROM s) SELECT line, n::INT AS n, count(*) AS times FROM t WHERE n >= 2 GROUP BY ALL""")
 def q_src7_sentences(spark, d):
-    p = _place(spark, "sentences")
+    p = scratch(spark, "sentences")
     sents(spark, d).filter("size(tokens) >= 2").select(F.array_join("tokens", " ").alias("value")).write.option("compression", "gzip").text(p)
     return I.sentences(spark, p).groupBy(F.array_join("tokens", " ").alias("line"), F.size("tokens").alias("n")).agg(F.count("*").alias("times"))
 
 
 @query("SELECT DISTINCT typed AS typo, other AS expected FROM label_keys WHERE typed IS NOT NULL AND other IS NOT NULL AND typed <> '' AND other <> ''")
 def q_src8_snk4_pairs(spark, d):
-    p = _place(spark, "pairs")
+    p = scratch(spark, "pairs")
     O.tsv(table(spark, d, "label_keys", "typed", "other").filter("typed <> '' AND other <> ''").distinct(), p)
     return I.tsv(spark, p, "typo string, expected string")
 
 
 @query("SELECT DISTINCT trim(regexp_replace(split_part(line, chr(9), 1), '\\s+', ' ', 'g')) AS text FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line FROM documents WHERE source = 'subtitles') WHERE trim(regexp_replace(split_part(line, chr(9), 1), '\\s+', ' ', 'g')) <> ''")
 def q_src9_first_column(spark, d):
-    p = _place(spark, "comments")
+    p = scratch(spark, "comments")
     docs(spark, d).filter("source = 'subtitles'").select(_c("text").alias("value")).filter("value IS NOT NULL").write.text(p)
     return I.first_column(spark, p).distinct()
 
@@ -95,7 +91,7 @@ def q_src9_first_column(spark, d):
 @query("SELECT word_id, word FROM lexicon")
 def q_src11_src12_words_blob(spark, d):
     """The blob in order is the lexicon again: ids are places."""
-    p = _place(spark, "blob")
+    p = scratch(spark, "blob")
     O.sorted_lines(lex(spark, d), _c("word"), p, "word")
     from wordloom.operators.windows import numbered
 
@@ -114,7 +110,7 @@ def q_src14_last_wins(spark, d):
 
 @query("SELECT DISTINCT id, source_id, typed FROM label_keys WHERE lower(trim(stratum)) = 'clean'")
 def q_src15_snk5_candidates(spark, d):
-    p = _place(spark, "pool")
+    p = scratch(spark, "pool")
     k = table(spark, d, "label_keys", "id", "source_id", "typed", "stratum").distinct()
     O.json_lines(k.select(F.lower(F.trim("stratum")).alias("kind"), "id", "source_id", "typed"), p)
     return I.kinds(spark, p, "kind string, id string, source_id string, typed string", "clean").select("id", "source_id", "typed").distinct()
@@ -123,7 +119,7 @@ def q_src15_snk5_candidates(spark, d):
 @query()
 def q_src5_blocks(spark, d):
     """Every text packed as a block of its own, about one in sixteen cut short and as many with a wrong checksum, read again."""
-    p = _place(spark, "blocks")
+    p = scratch(spark, "blocks")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series, harm: pd.Series) -> pd.Series:
@@ -144,7 +140,7 @@ def q_src5_blocks(spark, d):
 
 @query()
 def q_src18_files(spark, d):
-    p = _place(spark, "dir")
+    p = scratch(spark, "dir")
     O.json_lines(lex(spark, d).repartition(3), p)
     return I.files(spark, p).filter(_c("name").endswith(".json")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
@@ -152,13 +148,15 @@ def q_src18_files(spark, d):
 @query(f"WITH {BI} SELECT first_id, second_id, cnt, row_number() OVER (PARTITION BY first_id ORDER BY cnt DESC, second_id) AS rank FROM bi QUALIFY rank <= 64")
 def q_snk2_src13_bucketed(spark, d):
     name = f"wordloom_bigrams_{uuid.uuid4().hex}"
-    O.bucketed(T.capped(bi(spark, d), 64).select("first_id", "second_id", "cnt", "rank"), name, 8, "first_id", "rank")
-    return spark.table(name)
+    O.bucketed(T.capped(bi(spark, d), 64).select("first_id", "second_id", "cnt", "rank"), name, scratch(spark, "bucketed"), 8, "first_id", "rank")
+    out = materialize(spark.table(name), "unbucketed")
+    O.drop(spark, name)
+    return out
 
 
 @query("SELECT count(*) AS entries, 'lexicon' AS name, 'made for tests' AS source FROM lexicon")
 def q_snk3_manifest(spark, d):
-    p = _place(spark, "manifest")
+    p = scratch(spark, "manifest")
     O.manifest(lex(spark, d), _c("word"), p, name="lexicon", source="made for tests")
     return spark.read.schema("entries bigint, digest string, name string, source string").json(p).select("entries", "name", "source")
 

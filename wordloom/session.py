@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has at most this many rows (and its caller knows its row width).
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its files hold at most so many bytes and rows.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,14 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a
+    temporary folder; on a cluster it is an error, as no machine's own folder will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "wordloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, under this application's own folder, which is deleted when the application ends
+    (or by ``release``)."""
+    base = f"{shared_dir(spark)}/wordloom/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes ``path``, or all that this application wrote to the shared folder; no result that reads it may be in use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/wordloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a plan used twice is computed once.
 
@@ -35,7 +56,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     by each of its readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,11 +68,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a bounded count proves it to have at most ``rows`` rows, else as it is.
+def _is_scan(plan) -> bool:
+    """Whether an optimised plan only reads, filters and projects files."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "LogicalRelation":
+        return True
+    return kind in ("Project", "Filter") and _is_scan(plan.children().head())
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its files prove it to be small, else as it is: the planner then picks a shuffled join.
 
-    The count stops after ``rows`` + 1 rows. Without the hint the planner picks a shuffled join.
+    A computed ``df`` is written out first, so that it is computed once and its size is known from its files. Both their
+    bytes and (by a count that stops after ``rows`` + 1) their rows are bounded.
     """
-    if df.limit(rows + 1).count() <= rows:
+    if not _is_scan(df._jdf.queryExecution().optimizedPlan()):
+        df = materialize(df, "side")
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most and df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import content_hash
+from wordloom.session import release
 
 
 def sorted_lines(df: DataFrame, line: Column, path: str, *order: str) -> None:
@@ -13,9 +14,17 @@ def sorted_lines(df: DataFrame, line: Column, path: str, *order: str) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-def bucketed(df: DataFrame, table: str, buckets: int, by: str, order: str) -> None:
-    """A table bucketed and sorted by a word's id, so that lookups by it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by, order).format("parquet").saveAsTable(table)
+def bucketed(df: DataFrame, table: str, path: str, buckets: int, by: str, order: str) -> None:
+    """A table bucketed and sorted by a word's id, so that lookups by it need no shuffle; its files lie at ``path``, which must
+    be in shared storage."""
+    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by, order).option("path", path).format("parquet").saveAsTable(table)
+
+
+def drop(spark: SparkSession, table: str) -> None:
+    """Takes a table out of the catalogue and deletes its files."""
+    at = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Location'").first().data_type
+    spark.sql(f"DROP TABLE {table}")
+    release(spark, at)
 
 
 def manifest(df: DataFrame, line: Column, path: str, **said: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.profiles import BUFFER
-from wordloom.session import shared_dir
+from wordloom.session import scratch
 
 GAP = "30 minutes"
 
@@ -25,7 +24,7 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Run a stream over all that is there and return its output: each micro-batch is written as a whole beside its number,
     so that a batch that is retried replaces itself, and the checkpoint lies in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/wordloom/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def put(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
