@@ -47,10 +47,9 @@ def test_empty_user_model_changes_nothing(spark):
 
 
 def test_detector_control(spark):
-    from wordloom.operators import lookup as L
 
     _, sents, lex = corpus(spark)
-    sites = R.sites(L.ids(T.explode_tokens(sents), lex))
+    sites = R.sites(sents, lex)
     bi = T.pruned(T.bigrams(sents, lex), 1)
     assert R.detected(R.evidence(sites, lex, bi.limit(0))).count() == 0
     ev = R.evidence(sites, lex, bi)

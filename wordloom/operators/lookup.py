@@ -19,8 +19,8 @@ def ids(tokens: DataFrame, lex: DataFrame, token: str = "token", id_: str = "id"
     side = small(lex.select("word", "word_id"))
     out = tokens
     for name, column in {id_: token, **more}.items():
-        word = side.select(F.col("word").alias("_w"), F.col("word_id").alias(name))
-        out = out.join(word, F.col(column) == F.col("_w"), "left").drop("_w")
+        word = side.select(F.col("word").alias("_lex_word"), F.col("word_id").alias(name))
+        out = out.join(word, F.col(column) == F.col("_lex_word"), "left").drop("_lex_word")
     return out.drop(*more.values())
 
 

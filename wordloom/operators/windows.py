@@ -50,7 +50,31 @@ def blocks(rows: DataFrame, size: int, most: int, rn: str = "rn") -> DataFrame:
     return out.join(whole, "block", "left_semi").withColumn("split", F.when(F.col("block") % 2 == 0, "dev").otherwise("test"))
 
 
-def contexts(tokens: DataFrame, n: int = 4) -> DataFrame:
-    """Tokens with up to ``n`` words before them in their sentence, the nearest first."""
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    return tokens.withColumn("completed", F.reverse(F.collect_list("token").over(w.rowsBetween(-n, -1))))
+def first_of_each(df: DataFrame, cell: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each cell in a global order, however many rows a cell has: rows are put into ranges of the
+    order, each range keeps its first ``most`` of a cell, and those are cut again by how many the ranges before hold."""
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    k = F.row_number().over(Window.partitionBy("_p", cell).orderBy(*order))
+    kept = materialize(ranged.withColumn("_k", k).filter(F.col("_k") <= most), "first")
+    per = kept.groupBy(cell, "_p").agg(F.count("*").alias("_n"))
+    # One row per range and cell, each of at most ``most`` rows.
+    before = per.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(cell).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_b") < most)
+    both = kept.join(before.select(F.col(cell).alias("_c"), F.col("_p").alias("_q"), "_b"), kept[cell].eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_q")))
+    return both.filter(F.col("_b") + F.col("_k") <= most).select(*df.columns)
+
+
+def at_rank(df: DataFrame, group: str, value: str, rank, name: str = "value") -> DataFrame:
+    """(group, value): of each group the value at a place from 1 in ascending order; ``rank`` makes the place from a column of
+    the group's count. Equal values are counted first, so repeats aren't sorted; the values are put into ranges, counted,
+    and only the range that holds the place is looked into. Null values are none."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c")).repartitionByRange(group, value)
+    counts = materialize(counts.withColumn("_p", F.spark_partition_id()), "ranks")
+    per = counts.groupBy(group, "_p").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(group)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_at", rank(F.sum("_n").over(w)))
+    hit = per.filter((F.col("_before") < F.col("_at")) & (F.col("_at") <= F.col("_before") + F.col("_n")))
+    hit = hit.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), (F.col("_at") - F.col("_before")).alias("_need"))
+    inside = counts.join(hit, counts[group].eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    upto = F.sum("_c").over(w.orderBy(value))
+    found = inside.withColumn("_u", upto).filter((F.col("_u") >= F.col("_need")) & (F.col("_u") - F.col("_c") < F.col("_need")))
+    return found.select(group, F.col(value).alias(name))

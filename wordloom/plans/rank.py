@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.similarity import adjacency_map, osa
 from wordloom.operators import lookup as L
+from wordloom.plans import tables as T
 from wordloom.profiles import BIGRAM_WEIGHT, COMPLETION_CANDIDATES, DETECT_MARGIN, HEBREW, MAX_EDITS, MIN_STEM, MIN_TYPED, NEXT_CANDIDATES, PRIOR_MARGIN, SUGGESTIONS, USER_CAP, USER_WEIGHT, Profile
-from wordloom.session import small
+from wordloom.session import materialize, small
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -51,10 +52,11 @@ def user_term(log: Column, weight: float = USER_WEIGHT, cap: int = USER_CAP) ->
     return weight * F.least(F.coalesce(log, F.lit(0)), F.lit(cap))
 
 
-def completions(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, lengths: tuple[int, ...], n: int = SUGGESTIONS, bigram_weight: float = BIGRAM_WEIGHT, user: DataFrame | None = None) -> DataFrame:
+def completions(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, lengths: tuple[int, ...] | None = None, n: int = SUGGESTIONS, bigram_weight: float = BIGRAM_WEIGHT, user: DataFrame | None = None) -> DataFrame:
     """(prefix, prev, word_id, word, log_freq, score, rank) for distinct contexts (prefix, prev); ``prev`` may be null.
 
-    Of each prefix the most frequent 24 words are candidates; the prefix itself is dropped after that. ``user`` is one
+    Of each prefix the most frequent 24 words are candidates; the prefix itself is dropped after that. ``lengths``: see
+    ``lookup.by_prefix``. ``user`` is one
     model's gated pairs (first_id, second_id, log_count); rows then also say whether the word owes its place to it.
     """
     cand = top(L.by_prefix(contexts, lex, lengths), ["prefix"], [F.desc("log_freq"), F.col("word_id")], COMPLETION_CANDIDATES, "place").filter("word <> prefix")
@@ -93,56 +95,72 @@ def mixed(finishes: DataFrame, fixes: DataFrame, policy: str = "COMPLETIONS_FIRS
     return top(first.select("typed", "word", "p.kind", "p.place"), ["typed"], [F.col("place")], n).select("typed", "word", "kind", "rank")
 
 
-def sites(ids: DataFrame) -> DataFrame:
+def sites(sents: DataFrame, lex: DataFrame) -> DataFrame:
     """Known tokens with the ids of the tokens one and two before and after, null where there is none or it is unknown."""
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    cols = [F.lag("id", 2).over(w).alias("prev2"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"), F.lead("id", 2).over(w).alias("next2")]
-    return ids.select("doc_id", "source", "sent_id", "pos", "token", "id", *cols).filter(F.col("id").isNotNull() & (F.length("token") >= 2))
+    t = T.neighbours(sents, 2, 2).filter(F.length("token") >= 2).withColumnRenamed("n", "_n").withColumn("_w", F.col("token"))
+    t = L.ids(t, lex, "_w", prev2="w-2", prev="w-1", next="w1", next2="w2")
+    return t.drop("_w", "_n").filter(F.col("id").isNotNull())
+
+
+def _looked_up(rows: DataFrame, counts: DataFrame, before: str, word: str, after: str, name: str) -> DataFrame:
+    """``rows`` with the counts of a word after the one before and before the one after, summed up as ``name``."""
+    for first, second, part in ((before, word, "_a"), (word, after, "_b")):
+        rows = rows.join(counts.select(F.col("first_id").alias(first), F.col("second_id").alias(second), F.col("log_count").alias(part)), [first, second], "left")
+    return rows.withColumn(name, F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_a", "_b")
 
 
 def evidence(found: DataFrame, lex: DataFrame, bigrams: DataFrame, skips: DataFrame | None = None, p: Profile = HEBREW) -> DataFrame:
     """One row per site and variant: the counts that speak for the typed word and for the variant, adjacent and at distance
-    two, and both words' frequencies. Sweeps read this table instead of looking anything up again."""
-    conf = L.confusions(lex.select("word"), lex, p).join(small(lex.select("word", F.col("word_id").alias("id"), F.col("log_freq").alias("typed_freq"))), "word")
-    rows = found.join(small(conf.select("id", "typed_freq", "variant", "variant_id", "variant_freq")), "id")
-
-    def look(rows: DataFrame, counts: DataFrame, first: str, second: str, name: str) -> DataFrame:
-        return rows.join(counts.select(F.col("first_id").alias(first), F.col("second_id").alias(second), F.col("log_count").alias(name)), [first, second], "left").fillna(0, [name])
-
-    sides = [(small(bigrams.select("first_id", "second_id", "log_count")), "prev", "next", "")]
-    if skips is not None:
-        sides.append((small(skips.select("first_id", "second_id", "log_count")), "prev2", "next2", "_skip"))
-    for counts, before, after, tail in sides:
-        for who, col in (("typed", "id"), ("variant", "variant_id")):
-            rows = look(rows, counts, before, col, "_a")
-            rows = look(rows, counts, col, after, "_b")
-            rows = rows.withColumn(f"{who}_ev{tail}", F.col("_a") + F.col("_b")).drop("_a", "_b")
+    two, and both words' frequencies. Sweeps read this table instead of looking anything up again.
+
+    Counts are looked up once per distinct surroundings of a word, not per site: frequent words cost no more than others.
+    """
+    freq = small(lex.select("word", F.col("word_id").alias("id"), F.col("log_freq").alias("typed_freq")))
+    conf = small(L.confusions(lex.select("word"), lex, p).join(freq, "word").select("id", "typed_freq", "variant", "variant_id", "variant_freq"))
+    found = materialize(found.join(conf.select("id"), "id", "left_semi"), "sites")
+    rows = found
+    tables = [(bigrams, "prev", "next", "")] + ([(skips, "prev2", "next2", "_skip")] if skips is not None else [])
+    first = True
+    for counts, before, after, tail in tables:
+        side = small(counts.select("first_id", "second_id", "log_count"))
+        ctx = found.select(before, "id", after).distinct()
+        ctx = _looked_up(ctx, side, before, "id", after, f"typed_ev{tail}").join(conf.select("id", "variant_id"), "id")
+        ctx = _looked_up(ctx, side, before, "variant_id", after, f"variant_ev{tail}")
+        ctx = ctx.select(F.col(before).alias("_x"), F.col("id").alias("_i"), F.col(after).alias("_y"), F.col("variant_id").alias("_v"), f"typed_ev{tail}", f"variant_ev{tail}")
+        on = (F.col("id") == F.col("_i")) & F.col(before).eqNullSafe(F.col("_x")) & F.col(after).eqNullSafe(F.col("_y"))
+        if first:
+            rows = rows.join(ctx, on).withColumnRenamed("_v", "variant_id").drop("_x", "_i", "_y")
+        else:
+            rows = rows.join(ctx, on & (F.col("variant_id") == F.col("_v"))).drop("_x", "_i", "_y", "_v")
+        first = False
+    rows = rows.join(conf, ["id", "variant_id"])
     return rows.withColumn("context", F.col("prev").isNotNull().cast("int") + F.col("next").isNotNull().cast("int"))
 
 
 SITE = ["doc_id", "sent_id", "pos"]
 
 
-def detected(ev: DataFrame, margin: int = DETECT_MARGIN, require_zero: bool = True) -> DataFrame:
+def detected(ev: DataFrame, margin: int = DETECT_MARGIN, require_zero: bool = True, by: list[str] | None = None) -> DataFrame:
     """The best variant of each site where the context knows it well and the typed word not at all; ties by id."""
     ok = ev.filter((F.col("context") > 0) & (F.col("variant_ev") - F.col("typed_ev") >= margin))
     if require_zero:
         ok = ok.filter("typed_ev = 0")
-    return top(ok, SITE, [F.desc("variant_ev"), F.col("variant_id")], 1).drop("rank")
+    return top(ok, by or SITE, [F.desc("variant_ev"), F.col("variant_id")], 1).drop("rank")
 
 
-def detected_wide(ev: DataFrame, margin: int = DETECT_MARGIN, skip_margin: int = 0, prior_margin: int = PRIOR_MARGIN) -> DataFrame:
+def detected_wide(ev: DataFrame, margin: int = DETECT_MARGIN, skip_margin: int = 0, prior_margin: int = PRIOR_MARGIN, by: list[str] | None = None) -> DataFrame:
     """As ``detected``; where the adjacent words say nothing of any word, the words at distance two, and where those don't
     speak either, frequency alone. A margin of 0 switches its layer off. ``path`` tells which layer spoke."""
-    near = detected(ev, margin).withColumn("path", F.lit("adjacent")).withColumn("strength", F.col("variant_ev"))
-    blind = ev.withColumn("_any", F.max(F.greatest("typed_ev", "variant_ev")).over(Window.partitionBy(*SITE))).filter("_any = 0").drop("_any")
+    by = by or SITE
+    near = detected(ev, margin, by=by).withColumn("path", F.lit("adjacent")).withColumn("strength", F.col("variant_ev"))
+    blind = ev.withColumn("_any", F.max(F.greatest("typed_ev", "variant_ev")).over(Window.partitionBy(*by))).filter("_any = 0").drop("_any")
     out, rest = near, blind
     if skip_margin > 0:
         ok = blind.filter((F.col("prev2").isNotNull() | F.col("next2").isNotNull()) & (F.col("typed_ev_skip") == 0) & (F.col("variant_ev_skip") - F.col("typed_ev_skip") >= skip_margin))
-        far = top(ok, SITE, [F.desc("variant_ev_skip"), F.col("variant_id")], 1).drop("rank")
+        far = top(ok, by, [F.desc("variant_ev_skip"), F.col("variant_id")], 1).drop("rank")
         out = out.unionByName(far.withColumn("path", F.lit("distance-2")).withColumn("strength", F.col("variant_ev_skip")))
-        rest = blind.join(far.select(*SITE), SITE, "left_anti")
+        rest = blind.join(far.select(*by), by, "left_anti")
     if prior_margin > 0:
         ok = rest.filter(F.col("variant_freq") - F.col("typed_freq") >= prior_margin)
-        out = out.unionByName(top(ok, SITE, [F.desc("variant_freq"), F.col("variant_id")], 1).drop("rank").withColumn("path", F.lit("prior")).withColumn("strength", F.col("variant_freq").cast("int")))
+        out = out.unionByName(top(ok, by, [F.desc("variant_freq"), F.col("variant_id")], 1).drop("rank").withColumn("path", F.lit("prior")).withColumn("strength", F.col("variant_freq").cast("int")))
     return out

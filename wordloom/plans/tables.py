@@ -23,6 +23,15 @@ def explode_tokens(sents: DataFrame) -> DataFrame:
     return sents.select("doc_id", "source", "sent_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
 
 
+def neighbours(sents: DataFrame, before: int = 1, after: int = 0) -> DataFrame:
+    """As ``explode_tokens``, with the tokens before (w-1, w-2, ...) and after (w1, ...) each, null where there is none. They are
+    taken inside the sentence's array, so nothing is shuffled."""
+    near = [(k, f"w{k}") for k in (*range(-before, 0), *range(1, after + 1))]
+    at = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), *(F.get("tokens", i + k).alias(name) for k, name in near)))
+    rows = sents.select("doc_id", "source", "sent_id", F.size("tokens").alias("n"), F.posexplode(at).alias("pos", "t"))
+    return rows.select("doc_id", "source", "sent_id", "pos", "n", "t.*")
+
+
 def counted(words: DataFrame, word: str = "token") -> DataFrame:
     """(word, cnt)."""
     return words.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("cnt"))

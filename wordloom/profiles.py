@@ -70,3 +70,4 @@ BIGRAM_WEIGHT, USER_WEIGHT, USER_CAP = 2.0, 2.0, 32
 DETECT_MARGIN, PRIOR_MARGIN = 21, 104
 MIN_SESSIONS, USER_CAPACITY, RETAIN = 2, 40_000, 0.9
 BUFFER = 2048
+WORD_END = "</w>"

@@ -218,8 +218,8 @@ def q_agg36_benefit(spark, d):
 
 @query(f"WITH {TOK} SELECT doc_id, sent_id, pos, lag(token, 2) OVER w AS prev2, lag(token) OVER w AS prev, lead(token) OVER w AS next, lead(token, 2) OVER w AS next2 FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)")
 def q_win2_win14_neighbours(spark, d):
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    return toks(spark, d).select("doc_id", "sent_id", "pos", F.lag("token", 2).over(w).alias("prev2"), F.lag("token").over(w).alias("prev"), F.lead("token").over(w).alias("next"), F.lead("token", 2).over(w).alias("next2"))
+    near = {"prev2": "w-2", "prev": "w-1", "next": "w1", "next2": "w2"}
+    return T.neighbours(sents(spark, d), 2, 2).select("doc_id", "sent_id", "pos", *(_c(w).alias(name) for name, w in near.items()))
 
 
 _ELIG = f"{TOK}, elig AS (SELECT doc_id, sent_id, len(a) AS n, row_number() OVER (ORDER BY doc_id, sent_id) - 1 AS rn FROM toks WHERE len(a) BETWEEN 4 AND 40)"
@@ -258,15 +258,14 @@ def q_win7_win8_win11_blocks(spark, d):
 @query(f"WITH {TOK}, k AS (SELECT doc_id, sent_id, pos, length(token) AS cell, row_number() OVER (PARTITION BY length(token) ORDER BY doc_id, sent_id, pos) AS k FROM tok) SELECT doc_id, sent_id, pos, cell FROM k WHERE k <= 2000")
 def q_win9_attempt_cap(spark, d):
     """The first 2,000 attempts of each cell, in corpus order: the cap is what the operator is."""
-    w = Window.partitionBy("cell").orderBy("doc_id", "sent_id", "pos")
     t = toks(spark, d).select("doc_id", "sent_id", "pos", F.length("token").alias("cell"))
-    return t.withColumn("k", F.row_number().over(w)).filter("k <= 2000").drop("k")
+    return W.first_of_each(t, "cell", ["doc_id", "sent_id", "pos"], 2000)
 
 
 @query(f"""WITH {TOK} SELECT doc_id, sent_id, pos, array_to_string(list_reverse(list(token) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)), ' ') AS completed FROM tok""")
 def q_win15_completed_words(spark, d):
-    t = W.contexts(toks(spark, d))
-    return t.select("doc_id", "sent_id", "pos", F.when(F.size("completed") > 0, F.array_join("completed", " ")).alias("completed"))
+    t = T.neighbours(sents(spark, d), 4)
+    return t.select("doc_id", "sent_id", "pos", F.nullif(F.concat_ws(" ", "w-1", "w-2", "w-3", "w-4"), F.lit("")).alias("completed"))
 
 
 @query(f"WITH {TOK} SELECT doc_id, sent_id, array_to_string(a[greatest(len(a) - 1, 1):len(a)], ' ') AS tail FROM toks WHERE len(a) >= 1")
@@ -313,10 +312,8 @@ def q_win12_margin(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS threshold FROM r WHERE k = greatest(1, floor(n * 0.2))""")
 def q_win13_threshold(spark, d):
     """The value above which a fifth of each kind's events lie."""
-    e = table(spark, d, "events", "event_id", "event_type", "value").filter("value IS NOT NULL")
-    w = Window.partitionBy("event_type")
-    r = e.withColumn("k", F.row_number().over(w.orderBy(F.desc("value"), "event_id"))).withColumn("n", F.count("*").over(w))
-    return r.filter(_c("k") == F.greatest(F.lit(1), F.floor(_c("n") * 0.2))).select("event_type", _c("value").alias("threshold"))
+    e = table(spark, d, "events", "event_type", "value")
+    return W.at_rank(e, "event_type", "value", lambda n: n - F.greatest(F.lit(1), F.floor(n * 0.2)) + 1, "threshold")
 
 
 @query("""WITH c AS (SELECT t, count(*) FILTER (value >= t) AS kept, count(*) FILTER (value >= t AND event_type = 'purchase') AS hits, count(*) AS n FROM events, (VALUES (1), (5), (10), (20), (40), (80)) v(t) GROUP BY 1), p AS (SELECT t, kept / n AS retention, hits / nullif(kept, 0) AS precision FROM c)

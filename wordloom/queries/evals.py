@@ -97,7 +97,7 @@ def q_evl8_injections(spark, d):
 
 @query(f"WITH {IDS}, s AS (SELECT doc_id, sent_id, pos, id, lag(id) OVER w AS p, lead(id) OVER w AS n, length(token) AS l FROM ids WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)) SELECT doc_id, sent_id, pos FROM s WHERE id IS NOT NULL AND l >= 2 AND p IS NOT NULL AND n IS NOT NULL")
 def q_evl9_clean_sites(spark, d):
-    return R.sites(L.ids(toks(spark, d), lex(spark, d))).filter("prev IS NOT NULL AND next IS NOT NULL").select("doc_id", "sent_id", "pos")
+    return R.sites(sents(spark, d), lex(spark, d)).filter("prev IS NOT NULL AND next IS NOT NULL").select("doc_id", "sent_id", "pos")
 
 
 @query()
@@ -137,11 +137,9 @@ _CELL = f"""tgt AS (SELECT doc_id, sent_id, pos, token, lag(id) OVER (PARTITION
 def attempts(spark, d):
     """Targets of three or more letters after a first word, once per number of letters typed; the first 20,000 of each
     number in corpus order, which is how the cells are defined."""
-    ids = L.ids(toks(spark, d), lex(spark, d))
-    t = ids.withColumn("prev", F.lag("id").over(Window.partitionBy("doc_id", "sent_id").orderBy("pos"))).filter((F.length("token") >= 3) & (_c("pos") >= 1))
-    a = t.select("doc_id", "sent_id", "pos", "token", "prev", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).filter(F.length("token") > _c("k"))
-    a = R.top(a, ["k"], [_c("doc_id"), _c("sent_id"), _c("pos")], 20_000, "n").drop("n")
-    return a.withColumn("prefix", F.expr("substring(token, 1, k)"))
+    t = T.neighbours(sents(spark, d)).filter("length(token) >= 3 AND pos >= 1").select("doc_id", "sent_id", "pos", "token", "w-1", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    a = W.first_of_each(t.filter(F.length("token") > _c("k")), "k", ["doc_id", "sent_id", "pos"], 20_000)
+    return L.ids(a.withColumn("w", _c("w-1")), lex(spark, d), "w", "prev").drop("w", "w-1").withColumn("prefix", F.expr("substring(token, 1, k)"))
 
 
 def _cells(spark, d, counts, weight):

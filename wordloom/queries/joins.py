@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from wordloom.functions import similarity as S
 from wordloom.functions import text as X
 from wordloom.operators import lookup as L
+from wordloom.plans import rank as R
 from wordloom.plans import tables as T
 from wordloom.profiles import HEBREW
 from wordloom.queries.common import BI, IDS, TOK, bi, docs, lex, sents, toks
-from wordloom.session import small, table
+from wordloom.session import materialize, small, table
 
 QUERIES, SQL = {}, {}
 _c = F.col
@@ -260,15 +261,15 @@ def q_join25_evidence(spark, d):
 
 
 def evidence(spark, d, distance, counts):
-    """(doc_id, sent_id, pos, evidence) of each known token: scaled counts with the known tokens ``distance`` before and after."""
-    ids = L.ids(toks(spark, d), lex(spark, d))
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    n = ids.select("doc_id", "sent_id", "pos", "id", F.lag("id", distance).over(w).alias("prev"), F.lead("id", distance).over(w).alias("next")).filter("id IS NOT NULL")
-    side = small(counts.select("first_id", "second_id", "log_count"))
-    a = side.select(_c("first_id").alias("prev"), _c("second_id").alias("id"), _c("log_count").alias("before"))
-    b = side.select(_c("first_id").alias("id"), _c("second_id").alias("next"), _c("log_count").alias("after"))
-    j = n.join(a, ["prev", "id"], "left").join(b, ["id", "next"], "left")
-    return j.select("doc_id", "sent_id", "pos", (F.coalesce("before", F.lit(0)) + F.coalesce("after", F.lit(0))).alias("evidence"))
+    """(doc_id, sent_id, pos, evidence) of each known token: scaled counts with the known tokens ``distance`` before and after,
+    looked up once per distinct three of them."""
+    before, after = f"w-{distance}", f"w{distance}"
+    t = T.neighbours(sents(spark, d), distance, distance).select("doc_id", "sent_id", "pos", _c("token").alias("w"), before, after)
+    n = materialize(L.ids(t, lex(spark, d), "w", "id", prev=before, next=after).drop("w").filter("id IS NOT NULL"), "tokens")
+    ctx = R._looked_up(n.select("prev", "id", "next").distinct(), small(counts.select("first_id", "second_id", "log_count")), "prev", "id", "next", "evidence")
+    ctx = ctx.select(_c("prev").alias("_x"), _c("id").alias("_i"), _c("next").alias("_y"), "evidence")
+    j = n.join(ctx, (_c("id") == _c("_i")) & _c("prev").eqNullSafe(_c("_x")) & _c("next").eqNullSafe(_c("_y")))
+    return j.select("doc_id", "sent_id", "pos", "evidence")
 
 
 @query(f"""WITH {_EV}, sk AS (SELECT *, {'least(255, round(round(log2(cnt + 1) * 8, 6)))::INT'} AS log_count FROM allsk WHERE cnt >= 5), n AS (SELECT doc_id, sent_id, pos, id, lag(id, 2) OVER w AS prev, lead(id, 2) OVER w AS next FROM ids WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos))

@@ -59,9 +59,8 @@ def q_mod4_auto_replace(spark, d):
 
 def contexts(spark, d, k=2):
     """Distinct (prefix of k letters, previous known word) of the corpus."""
-    ids = L.ids(toks(spark, d), lex(spark, d))
-    prev = F.lag("id").over(Window.partitionBy("doc_id", "sent_id").orderBy("pos"))
-    return ids.select(F.substring("token", 1, k).alias("prefix"), prev.alias("prev"), F.length("token").alias("len")).filter(_c("len") > k).select("prefix", "prev").distinct()
+    t = T.neighbours(sents(spark, d)).filter(F.length("token") > k).select(F.substring("token", 1, k).alias("prefix"), _c("w-1").alias("w")).distinct()
+    return L.ids(t, lex(spark, d), "w", "prev").drop("w").distinct()
 
 
 _CTX = f"""ctx AS (SELECT DISTINCT substr(token, 1, 2) AS prefix, prev FROM (SELECT token, lag(id) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS prev FROM ids) WHERE length(token) > 2),
@@ -183,7 +182,7 @@ _EVID = f"""{_SWAP}, lp AS (SELECT word, word_id, log_freq, unnest(range(1, leng
 
 
 def evidence(spark, d, counts=None, skips=None):
-    return R.evidence(R.sites(L.ids(toks(spark, d), lex(spark, d))), lex(spark, d), bi(spark, d) if counts is None else counts, skips)
+    return R.evidence(R.sites(sents(spark, d), lex(spark, d)), lex(spark, d), bi(spark, d) if counts is None else counts, skips)
 
 
 @query(f"WITH {BI}, {_EVID} SELECT doc_id, sent_id, pos, token, variant, variant_ev FROM ev WHERE context > 0 AND typed_ev = 0 AND variant_ev >= 21 QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, pos ORDER BY variant_ev DESC, variant_id) = 1")

@@ -10,6 +10,8 @@ from wordloom.functions import numeric as N
 from wordloom.functions import policy as P
 from wordloom.functions import similarity as S
 from wordloom.functions import text as X
+from wordloom.operators import lookup as L
+from wordloom.plans import tables as T
 from wordloom.queries.common import TOK, docs, log_sql, sents, toks
 from wordloom.profiles import HEBREW
 from wordloom.session import table
@@ -332,10 +334,10 @@ def q_pol5_verdict(spark, d):
 @query(f"""WITH {TOK}, l AS (SELECT tok.*, word_id AS id, lead(word_id) OVER w AS nxt, lead(word_id, 2) OVER w AS nxt2 FROM tok LEFT JOIN lexicon ON word = token WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos))
   SELECT doc_id, count(*) FILTER (id IS NOT NULL AND nxt IS NOT NULL) AS adjacent, count(*) FILTER (id IS NOT NULL AND nxt2 IS NOT NULL) AS apart FROM l GROUP BY 1""")
 def q_arr1_arr2_zips(spark, d):
-    ids = toks(spark, d).join(F.broadcast(table(spark, d, "lexicon", "word", "word_id")), _c("token") == _c("word"), "left")
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    ids = ids.select("doc_id", "word_id", F.lead("word_id").over(w).alias("n1"), F.lead("word_id", 2).over(w).alias("n2"))
-    return ids.groupBy("doc_id").agg(F.count_if(_c("word_id").isNotNull() & _c("n1").isNotNull()).alias("adjacent"), F.count_if(_c("word_id").isNotNull() & _c("n2").isNotNull()).alias("apart"))
+    t = T.neighbours(sents(spark, d), 0, 2).withColumn("w", _c("token"))
+    t = L.ids(t, table(spark, d, "lexicon", "word", "word_id"), "w", "id", n1="w1", n2="w2")
+    both = lambda n: F.count_if(_c("id").isNotNull() & _c(n).isNotNull())
+    return t.groupBy("doc_id").agg(both("n1").alias("adjacent"), both("n2").alias("apart"))
 
 
 @query("""SELECT DISTINCT form_id, coalesce(nullif(array_to_string(list_sort(list_filter(string_split(morphology, ';'), lambda x: x <> '')), '+'), ''), 'NONE') AS bundle, list_filter([base_form, vocalized_inflection], lambda x: x <> '')[1] AS lemma FROM verb_forms""")
