@@ -8,7 +8,6 @@ from wordloom.operators import users as U
 from wordloom.plans import checks as C
 from wordloom.plans import evaluate as E
 from wordloom.plans import rank as R
-from wordloom.plans import segment as G
 from wordloom.plans import tables as T
 
 TEXT = "אני אוהב חלב. אני אוהב לחם. אני אוהב חלב! אתה אוהב כלב; אני רואה כלב"
@@ -67,14 +66,6 @@ def test_user_sessions(spark):
     assert kept == {(7, 8)}
 
 
-def test_bpe_roundtrip(spark):
-    counts = spark.createDataFrame([("aaab", 5), ("aab", 3), ("zz", 0), ("", 9)], "word string, cnt bigint")
-    merges = G.train_bpe(counts, 10)
-    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()][0] == ("a", "a")
-    for r in G.apply_bpe(counts.select("word"), merges).collect():
-        assert "".join(r.units) == r.word
-
-
 def test_scales(spark):
     row = spark.range(1).select(N.log_scale(F.lit(0)).alias("a"), N.log_scale(F.lit(1)).alias("b"), N.log_scale(F.lit(5)).alias("c"), N.wilson(F.lit(0), F.lit(0))[0].alias("d"), N.contrast(F.lit(-1), F.lit(-16777216)).alias("e"), N.ratio_text(F.lit(12.349)).alias("f")).first()
     assert (row.a, row.b, row.c, row.d, row.f) == (0, 8, 21, 0.0, "12.34") and abs(row.e - 21) < 1e-6

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw", "text", "joins", "aggs", "models", "evals", "flows")
+MODULES = ("raw", "text", "joins", "aggs", "models", "segmentation", "evals", "flows")
 
 
 def registries():

@@ -134,15 +134,6 @@ def q_agg22_fanout(spark, d):
     return g.groupBy(F.length("p").alias("prefix")).agg(F.count("*").alias("groups"), F.max("n").alias("most"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").cast("bigint").alias("median"))
 
 
-@query("""WITH v AS (SELECT DISTINCT form_id, base_form, morphology FROM verb_forms WHERE base_form IS NOT NULL), c AS (SELECT base_form, count(*) AS n, count(DISTINCT morphology) AS kinds FROM v GROUP BY 1)
-  SELECT base_form, n, kinds, row_number() OVER (ORDER BY n DESC, base_form) AS r FROM c ORDER BY n DESC, base_form LIMIT 200""")
-def q_agg24_top8_lexemes(spark, d):
-    """The lexemes with most forms: a top-k report."""
-    v = table(spark, d, "verb_forms", "form_id", "base_form", "morphology").filter("base_form IS NOT NULL").distinct()
-    top = v.groupBy("base_form").agg(F.count("*").alias("n"), F.countDistinct("morphology").alias("kinds")).orderBy(F.desc("n"), "base_form").limit(200)
-    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "base_form")).cast("bigint"))
-
-
 @query(f"""WITH {_BUCKETS}, p AS (SELECT DISTINCT batch_id, id, path FROM label_keys) SELECT split_part(stratum, ':', 1) AS stratum, path, count(*) FILTER (bucket = 'suggestion') AS suggestion, count(*) FILTER (bucket = 'text') AS text, count(*) FILTER (bucket = 'both') AS both, count(*) FILTER (bucket = 'unclear') AS unclear
   FROM b JOIN p USING (batch_id, id) GROUP BY 1, 2""")
 def q_agg25_buckets(spark, d):

@@ -9,7 +9,6 @@ from wordloom.functions import text as X
 from wordloom.operators import lookup as L
 from wordloom.operators import users as U
 from wordloom.plans import rank as R
-from wordloom.plans import segment as G
 from wordloom.plans import tables as T
 from wordloom.queries.common import BI, IDS, TOK, bi, lex, log_sql, sents, toks
 from wordloom.queries.joins import _AB, _ONE, _PREFIX, _STEMS, _SWAP, _VERB, _oov, _words, abbr
@@ -259,26 +258,6 @@ def q_mod19_offer(spark, d):
     return s.filter((_c("k") == 1) & (_c("log_count") >= 28) & (_c("log_count") - _c("n2") >= 2)).select("first_id", "second_id", (_c("log_count") - _c("n2")).alias("margin"))
 
 
-@query()
-def q_mod20_bpe_merges(spark, d):
-    return G.train_bpe(T.counted(toks(spark, d)), 100)
-
-
-@query()
-def q_mod21_agg30_units(spark, d):
-    counts = T.counted(toks(spark, d))
-    return G.apply_bpe(counts.select("word"), G.train_bpe(counts, 100))
-
-
-@query(f"""WITH {TOK}, {_VERB}, {_PREFIX}, w AS (SELECT DISTINCT token AS word FROM tok), k AS (SELECT surface AS stem, 'L:' || form_id AS unit FROM verbs UNION ALL SELECT word, 'W:' || word_id FROM lexicon ANTI JOIN verbs ON surface = word),
-  c AS (SELECT word, '' AS prefix, word AS stem FROM w UNION ALL SELECT word, prefix, substr(word, length(prefix) + 1) FROM w JOIN prefixes ON starts_with(word, prefix) WHERE length(word) >= length(prefix) + 2), h AS (SELECT c.word, prefix, unit, row_number() OVER (PARTITION BY c.word ORDER BY length(prefix), prefix) AS r FROM c JOIN k ON k.stem = c.stem)
-  SELECT w.word, CASE WHEN unit IS NULL THEN 'S:' || w.word WHEN prefix = '' THEN unit ELSE 'P:' || prefix || ' ' || unit END AS units FROM w LEFT JOIN h ON h.word = w.word AND r = 1""")
-def q_mod22_mod23_segment(spark, d):
-    verbs = table(spark, d, "verb_forms", "form_id", "vocalized_inflection").filter("vocalized_inflection IS NOT NULL").select(X.strip_points(_c("vocalized_inflection")).alias("stem"), "form_id").groupBy("stem").agg(F.min("form_id").alias("form_id"))
-    verbs = verbs.select("stem", F.concat(F.lit("L:"), "form_id").alias("unit"))
-    return G.segment(_words(spark, d), [verbs, lex(spark, d).select(_c("word").alias("stem"), F.concat(F.lit("W:"), _c("word_id").cast("string")).alias("unit"))])
-
-
 @query(f"WITH {TOK}, {_STEMS}, n AS (SELECT token AS word, count(*) AS n FROM tok GROUP BY 1) SELECT stem, sum(n)::BIGINT AS n, count(*) AS forms FROM stems JOIN n USING (word) GROUP BY 1")
 def q_agg23_mod24_stem_mass(spark, d):
     counts = T.counted(toks(spark, d))
