@@ -14,7 +14,8 @@ def check(rows, items, limits):
         by.setdefault(r.container, []).append(r.length)
         got.setdefault(r.doc_id, []).append((r.start, r.length, r.n_pieces))
     for lengths in by.values():
-        assert sum(lengths) <= limits.tokens and len(lengths) <= limits.documents and sum(x * x for x in lengths) <= limits.attention_limit
+        alone = max(lengths) ** 2 if max(lengths) ** 2 > limits.attention_limit else 0
+        assert sum(lengths) <= limits.tokens and len(lengths) <= limits.documents and sum(x * x for x in lengths) - alone <= (limits.beside_limit if alone else limits.attention_limit)
     want = {}
     for k, n in items:
         want.setdefault(k, []).append(max(0, n or 0))
@@ -56,3 +57,17 @@ def test_equal_sizes_and_empty(spark):
 def test_best_fit_takes_the_tightest():
     limits = packing.Limits(10, weights=(1, 0, 0))
     assert packing.best_fit(np.array([7, 6, 4, 3]), limits).tolist() == [0, 1, 1, 0]
+
+
+def test_attention_keeps_unlike_items_apart(spark):
+    items = [(i, 60) for i in range(10)] + [(100 + i, 38) for i in range(10)] + [(200 + i, 5) for i in range(40)]
+    df = spark.createDataFrame(items, "doc_id bigint, n_tokens bigint")
+    shared = lambda rows: {r.container for r in rows if r.length == 60} & {r.container for r in rows if r.length == 38}
+    limits = packing.Limits(100, attention=5000.0)
+    rows = packing.pack(df, limits).collect()
+    check(rows, items, limits)
+    assert not shared(rows) and len(shared(packing.pack(df, packing.Limits(100, attention=1e9)).collect())) == 10
+    report = packing.fill_report(packing.pack(df, limits), limits).first()
+    assert report.most_attention <= limits.attention_limit and report.most_tokens <= 100
+    big = [(i, 90) for i in range(5)] + [(100 + i, 1) for i in range(50)] + [(200, 10), (201, 10)]
+    check(packing.pack(spark.createDataFrame(big, "doc_id bigint, n_tokens bigint"), packing.Limits(100, attention=5000.0, beside=4.0)).collect(), big, packing.Limits(100, attention=5000.0, beside=4.0))

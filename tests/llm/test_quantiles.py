@@ -53,3 +53,26 @@ def test_spark(spark):
     assert {r.q for r in Q.over_limits(Q.percentiles(parts, ["batch_id"], [50, 95]), limits).collect()} == {50}
     assert Q.merged(Q.sketches(df.limit(0), ["batch_id"], "ms", once="answer_id"), ["batch_id"]).count() == 0
     assert sum(r.n for r in Q.sketches(df, ["batch_id"], "ms").collect()) == 33_000
+
+
+def test_fractions_and_many_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 3, None if i % 5 == 0 else f"g{i % 11}", float(v)) for i, v in enumerate(rng.normal(0, 0.01, 20_000))] + [(0, "g0", float("nan")), (0, "g0", None)]
+    df = spark.createDataFrame(rows, "a int, b string, x double").repartition(5)
+    exact = {}
+    for a, b, v in rows[:-2]:
+        exact.setdefault((a, b), []).append(v)
+    parts = Q.sketches(df, ["a", "b"], "x")
+    assert sum(r.n for r in parts.collect()) == 20_000
+    got = Q.percentiles(Q.merged(parts, ["a", "b"]), ["a", "b"], [10, 50, 99]).collect()
+    assert {(r.a, r.b) for r in got} == set(exact)
+    for r in got:
+        y = np.sort(exact[r.a, r.b])
+        assert r.value in y and abs(np.searchsorted(y, r.value) / len(y) - r.q / 100) < 0.011
+
+
+def test_a_task_passes_sketches_on(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 4000)
+    df = spark.range(30_000).select((Q.F.col("id") % 700).alias("g"), Q.F.col("id").alias("v")).coalesce(1)
+    parts = Q.sketches(df, ["g"], "v")
+    assert sum(r.n for r in parts.collect()) == 30_000 and Q.merged(parts, ["g"]).count() == 700

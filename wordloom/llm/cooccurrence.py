@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wordloom.session import materialize, small
 
-#: Ways that the rows of one pair, and the neighbours of one item, are split.
+#: Rows of one pair, and neighbours of one item, that a task takes at most if it gets no others; least numbers of ways to split them.
+PAIR_ROWS, STRIPE_ITEMS = 2_000_000, 100_000
 PAIR_SALTS, STRIPE_PIECES = 8, 16
 
 
@@ -23,9 +24,13 @@ def stripes(log: DataFrame, first: str = "first_id", second: str = "second_id",
     Rows with a null or negative id, twice the same item or a null or non-positive count take no part. Rows repeated
     under one ``obs`` count once; rows of one pair and session without an ``obs`` count once together. A null session
     adds to t but is no session.
+
+    The ways to split follow the number of rows: were they all of one pair, or of one item, no task would get too many.
     """
+    n = log.count()  # from the files' footers where ``log`` is a table
+    salts, pieces = max(PAIR_SALTS, -(-n // PAIR_ROWS)), max(STRIPE_PIECES, min(-(-n // STRIPE_ITEMS), 1024))
     rows = log.filter((F.col(first) >= 0) & (F.col(second) >= 0) & (F.col(first) != F.col(second)) & (F.col(cnt) > 0)).select(
-        F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), F.pmod(F.hash(session), F.lit(PAIR_SALTS)).cast("byte").alias("salt"),
+        F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), F.pmod(F.hash(session), F.lit(salts)).cast("int").alias("salt"),
         F.col(session).alias("session"), F.col(obs).alias("obs"), F.col(cnt).cast("bigint").alias("cnt"),
     )
     # One shuffle serves three aggregations, as each groups by more columns than it was shuffled by.
@@ -33,7 +38,7 @@ def stripes(log: DataFrame, first: str = "first_id", second: str = "second_id",
     once = rows.groupBy("a", "b", "salt", "session", "obs").agg(F.max("cnt").alias("cnt"))
     by_session = once.groupBy("a", "b", "salt", "session").agg(F.sum("cnt").alias("t"))
     part = by_session.groupBy("a", "b", "salt").agg(F.sum("t").alias("t"), F.count("session").alias("s"))
-    part = part.select("a", "b", F.pmod(F.hash("b"), F.lit(STRIPE_PIECES)).cast("byte").alias("piece"), "t", "s").repartition("a", "piece")
+    part = part.select("a", "b", F.pmod(F.hash("b"), F.lit(pieces)).cast("int").alias("piece"), "t", "s").repartition("a", "piece")
     merged = part.groupBy("a", "piece", "b").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
     return merged.groupBy("a", "piece").agg(F.sum("t").alias("total"), F.collect_list(F.struct(F.col("b").alias("item"), "t", "s")).alias("neighbours")).withColumnRenamed("a", "item")
 

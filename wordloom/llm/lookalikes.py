@@ -11,6 +11,7 @@ kinds of blanks) is normalised.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from functools import lru_cache
@@ -236,10 +237,24 @@ def flags_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([flags(t) for t in texts], columns=["mixed", "whole"], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def look_words_udf(lists: pd.Series) -> pd.Series:
+#: After each word of a list, for a null word and for a null list: codepoints that no text has (what does lose them).
+_AFTER, _NULL, _NONE = "\U0010ffff", "\U0010fffe", "\U000fffff"
+
+
+def look_of_list(text: str) -> list[str]:
+    """Look forms of words written one after the other, each with ``_AFTER`` behind it."""
     cache = _CACHE
-    return pd.Series([None if x is None else [cache[w] for w in x] for x in lists], dtype=object)
+    return [cache[w] if len(w) < 64 else look_form(w) for w in text.split(_AFTER)[:-1]]
+
+
+@F.pandas_udf(T.BinaryType())
+def list_looks_udf(ordered: pd.Series, unordered: pd.Series) -> pd.Series:
+    """Digest of the look of a list of words in order and of one in any order."""
+    out = []
+    for a, b in zip(ordered, unordered, strict=True):
+        words = [*look_of_list(a), _NONE, *sorted(look_of_list(b))]
+        out.append(hashlib.md5(_AFTER.join(words).encode("utf-8", "surrogatepass")).digest())
+    return pd.Series(out, dtype=object)
 
 
 def normalized(text: Column) -> Column:
@@ -247,14 +262,10 @@ def normalized(text: Column) -> Column:
     return look_udf(text)
 
 
-def normalized_words(words: Column) -> Column:
-    """Consistent forms of the words of an array column; the array's order and nulls stay."""
-    return look_words_udf(words)
-
-
-def _list_key(words: Column) -> Column:
-    """A text that tells arrays of strings apart, nulls and empty words included."""
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.concat(F.length(w).cast("string"), F.lit(":"), w), F.lit("-"))), ",")
+def _joined(words: Column) -> Column:
+    """An array of words as one text, nulls told apart."""
+    bare = F.transform(words, lambda w: F.concat(F.coalesce(F.translate(w, _AFTER + _NULL + _NONE, ""), F.lit(_NULL)), F.lit(_AFTER)))
+    return F.coalesce(F.array_join(bare, ""), F.lit(_NONE + _AFTER))
 
 
 def fingerprints(df: DataFrame, key: str, look: Column, chars: Column) -> DataFrame:
@@ -262,7 +273,11 @@ def fingerprints(df: DataFrame, key: str, look: Column, chars: Column) -> DataFr
 
     Records without key or text take no part. Only the digests are shuffled from here on, whatever the texts' length.
     """
-    return df.select(F.col(key).alias("key"), F.md5(look).alias("look"), F.md5(chars).alias("chars")).filter("key IS NOT NULL AND look IS NOT NULL").distinct()
+    return df.select(F.col(key).alias("key"), look.alias("look"), F.unhex(F.md5(chars)).alias("chars")).filter("key IS NOT NULL AND look IS NOT NULL").distinct()
+
+
+#: Places that the records of one look are spread over before they are paired.
+SPOTS = 16
 
 
 def lookalike_pairs(prints: DataFrame, block: int = 1024) -> DataFrame:
@@ -274,7 +289,9 @@ def lookalike_pairs(prints: DataFrame, block: int = 1024) -> DataFrame:
     """
     groups = prints.groupBy("look").agg(F.min("chars").alias("lo"), F.max("chars").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     blocks = groups.select("look", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    several = prints.join(blocks, "look")
+    # The records of one look meet its row in several places.
+    spots = F.explode(F.sequence(F.lit(0), F.lit(SPOTS - 1)))
+    several = prints.withColumn("spot", F.pmod(F.hash("key"), F.lit(SPOTS))).join(blocks.withColumn("spot", spots), ["look", "spot"])
     a = several.select("look", F.pmod(F.hash("key"), F.col("blocks")).alias("b"), F.col("key").alias("key_a"), F.col("chars").alias("chars_a"))
     b = several.select("look", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("key").alias("key_b"), F.col("chars").alias("chars_b"))
     pairs = a.join(b, ["look", "b"]).filter("key_a < key_b AND chars_a <> chars_b")
@@ -286,13 +303,11 @@ def item_prints(items: DataFrame) -> DataFrame:
 
     A null sentence or null options count as such: they equal only nulls.
     """
-    raw = items.select("id", "sentence", "options").distinct()
-    forms = raw.select("id", "sentence", "options", normalized_words("sentence").alias("s"), normalized_words("options").alias("o"))
-    text = lambda s, o: F.concat_ws("|", F.coalesce(_list_key(F.col(s)), F.lit("null")), F.coalesce(_list_key(F.array_sort(o)), F.lit("null")))
-    return fingerprints(forms, "id", text("s", "o"), text("sentence", "options"))
+    rows = items.select("id", _joined(F.col("sentence")).alias("s"), _joined(F.array_sort("options")).alias("o"))
+    return fingerprints(rows, "id", list_looks_udf("s", "o"), F.concat_ws(f"{_NONE}|{_NONE}", "s", "o"))
 
 
 def form_prints(forms: DataFrame) -> DataFrame:
     """Fingerprints of verb forms; a null text is none, so such rows take no part."""
-    raw = forms.select("form_id", "vocalized_inflection").filter("vocalized_inflection IS NOT NULL").distinct()
-    return fingerprints(raw.withColumn("look", normalized("vocalized_inflection")), "form_id", F.col("look"), F.col("vocalized_inflection"))
+    raw = forms.select("form_id", "vocalized_inflection").filter("vocalized_inflection IS NOT NULL")
+    return fingerprints(raw, "form_id", F.unhex(F.md5(normalized(F.col("vocalized_inflection")))), F.col("vocalized_inflection"))

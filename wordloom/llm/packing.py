@@ -1,8 +1,10 @@
 """p8: items of varying length into containers of fixed capacity by vector best fit.
 
-An item takes part of three capacities of a container: tokens, number of documents, and attention cost (the sum of
-squared lengths). Items come longest first; among the open containers that can take an item under every capacity the
-one of the largest weighted dot product of demand and relative fill is chosen (equivalently the one whose weighted
+An item takes part of three capacities of a container: tokens, number of documents, and attention cost, the sum of
+squared lengths. Where that is half the square of the tokens, two items of half a container's tokens take all of its
+attention, and a longer and a shorter one, which cost more, don't share a container. An item that alone costs more than
+there is opens a container with a small attention capacity for what is put beside it. Items come longest first; among the
+open containers that can take an item under every capacity the one of the largest weighted dot product of demand and relative fill is chosen (equivalently the one whose weighted
 residual fits tightest), ties by the earliest. An item longer than a container is split: all its full containers' worth
 of tokens stand alone, only the rest is packed with others; no other item is ever split.
 
@@ -25,11 +27,13 @@ from wordloom.session import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a container. ``attention`` None: the square of the token capacity, which only full-length items reach."""
+    """Capacities of a container. ``attention`` None: the square of the token capacity, which no items exceed; ``beside``, for what
+    stands beside an item that alone costs more, None: a sixteenth of that square."""
 
     tokens: int
     documents: int = 256
     attention: float | None = None
+    beside: float | None = None
     #: Weights of tokens, documents and attention in the choice of a container.
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     #: Containers' worth of tokens in a packing group.
@@ -39,6 +43,10 @@ class Limits:
     def attention_limit(self) -> float:
         return float(self.tokens) ** 2 if self.attention is None else self.attention
 
+    @property
+    def beside_limit(self) -> float:
+        return float(self.tokens) ** 2 / 16 if self.beside is None else self.beside
+
 
 def best_fit(sizes: np.ndarray, limits: Limits) -> np.ndarray:
     """Container number of each item; ``sizes`` come in descending order and are at most the token capacity.
@@ -67,6 +75,8 @@ def best_fit(sizes: np.ndarray, limits: Limits) -> np.ndarray:
                 left, number = np.concatenate([left, np.zeros_like(left)]), np.concatenate([number, np.zeros_like(number)])
             left[n_open], number[n_open] = 1.0, made
             best, n_open, made = n_open, n_open + 1, made + 1
+            if need[2] > 1.0:  # it has attention of its own, and leaves what may stand beside it
+                left[best, 2] = need[2] + limits.beside_limit / limits.attention_limit
         left[best] -= need
         out[i] = number[best]
         if (left[best] < np.array([least, 1.0, least * least]) / cap - eps).any():
@@ -116,7 +126,17 @@ def pack(sizes: DataFrame, limits: Limits, key: str = "doc_id", size: str = "n_t
 
 
 def fill_report(packed: DataFrame, limits: Limits) -> DataFrame:
-    """One row: containers, tokens, the least number of containers that could hold them, and the share of room left over."""
-    per = packed.groupBy("container").agg(F.sum("length").alias("t"), F.count("*").alias("n"))
-    out = per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.max("n").alias("most_documents"), F.max("t").alias("most_tokens"))
-    return out.select("containers", "tokens", F.ceil(F.col("tokens") / limits.tokens).alias("least_containers"), (1 - F.try_divide(F.col("tokens").cast("double"), F.col("containers") * limits.tokens)).alias("room_left"), "most_documents", "most_tokens")
+    """One row: containers, tokens, the least number of containers that could hold them, the share of room left over, and the
+    most of each capacity that a container uses (attention without an item that alone exceeds it); ``bound`` counts
+    containers with room for a hundredth of the tokens and for a document, whose attention is used up to a hundredth."""
+    longest = F.max("length")
+    over = longest * longest > limits.attention_limit
+    per = packed.groupBy("container").agg(F.sum("length").alias("t"), F.count("*").alias("n"), (F.sum(F.col("length") * F.col("length")) - F.when(over, longest * longest).otherwise(0)).alias("a"), over.alias("over"))
+    limit = F.when(F.col("over"), limits.beside_limit).otherwise(limits.attention_limit)
+    out = per.agg(
+        F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.max("n").alias("most_documents"), F.max("t").alias("most_tokens"),
+        F.max(F.when(~F.col("over"), F.col("a"))).alias("most_attention"), F.max(F.when(F.col("over"), F.col("a"))).alias("most_beside"),
+        F.count_if((F.col("a") >= 0.99 * limit) & (F.col("t") < 0.99 * limits.tokens) & (F.col("n") < limits.documents)).alias("bound"),
+    )
+    room = 1 - F.try_divide(F.col("tokens").cast("double"), F.col("containers") * limits.tokens)
+    return out.select("containers", "tokens", F.ceil(F.col("tokens") / limits.tokens).alias("least_containers"), room.alias("room_left"), "most_documents", "most_tokens", "most_attention", "most_beside", "bound")

@@ -4,6 +4,9 @@ A sketch keeps values in levels; a value of level h stands for 2**h. When a leve
 sorted and every second one moves up, the high values stay: the rank error is a small multiple of the distance to the
 top, so that extreme percentiles stay sharp. How much of a level is compacted follows the trailing ones of the number
 of compactions it has seen. Sketches of shards, days or partitions merge into that of their union.
+
+Every partition sketches what it reads, so only sketches are shuffled; where repeats of an id must count once, the ids
+are made unique before. Whole numbers stay whole, other numbers stay as they are.
 """
 
 from __future__ import annotations
@@ -21,28 +24,32 @@ from wordloom.session import small
 
 #: Section size of a new level. With 32 the rank error is far below one percentage point anywhere.
 SECTION = 32
-#: Ways the rows of one group are split before they are sketched.
-SALTS = 8
+#: Values that a task holds in sketches before it passes them on and begins new ones.
+HELD = 4_000_000
+#: Partitions whose sketches of a group are merged at a time.
+FAN = 64
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 class Sketch:
-    """Relative-rank compactors over integers, high ranks exact."""
+    """Relative-rank compactors over numbers of one kind (64-bit integers or doubles), high ranks exact."""
 
-    def __init__(self, section: int = SECTION):
+    def __init__(self, section: int = SECTION, kind: type = np.int64):
         self.n = 0
+        self.kind = np.dtype(kind)
         self.levels: list[np.ndarray] = []
         self.meta: list[list[int]] = []  # section size, sections, compactions of each level
         self.section = section
 
     def _level(self, h: int) -> None:
         while len(self.levels) <= h:
-            self.levels.append(np.empty(0, np.int64))
+            self.levels.append(np.empty(0, self.kind))
             self.meta.append([self.section, 3, 0])
 
     def add(self, values: np.ndarray) -> None:
         self._level(0)
         self.n += len(values)
-        self.levels[0] = np.concatenate([self.levels[0], values.astype(np.int64)])
+        self.levels[0] = np.concatenate([self.levels[0], values.astype(self.kind)])
         self._compress()
 
     def merge(self, other: Sketch) -> None:
@@ -92,104 +99,120 @@ class Sketch:
         return values[order][np.minimum(at, len(values) - 1)].tolist()
 
     def dump(self) -> bytes:
-        head = struct.pack("<qii", self.n, self.section, len(self.levels))
+        head = struct.pack("<qii?", self.n, self.section, len(self.levels), self.kind == np.float64)
         per = b"".join(struct.pack("<iiiq", len(v), m[0], m[1], m[2]) for v, m in zip(self.levels, self.meta, strict=True))
         return head + per + b"".join(v.tobytes() for v in self.levels)
 
     @classmethod
     def load(cls, data: bytes) -> Sketch:
-        n, section, levels = struct.unpack_from("<qii", data)
-        out, at = cls(section), struct.calcsize("<qii")
+        n, section, levels, real = struct.unpack_from("<qii?", data)
+        out, at = cls(section, np.float64 if real else np.int64), struct.calcsize("<qii?")
         out.n = n
         step = struct.calcsize("<iiiq")
         body = at + levels * step
         for h in range(levels):
             count, size, sections, seen = struct.unpack_from("<iiiq", data, at + h * step)
-            out.levels.append(np.frombuffer(data, np.int64, count, body))
+            out.levels.append(np.frombuffer(data, out.kind, count, body))
             out.meta.append([size, sections, seen])
             body += 8 * count
         return out
 
 
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
 def sketches(df: DataFrame, groups: list[str], value: str, once: str | None = None, section: int = SECTION) -> DataFrame:
-    """(groups..., n, sketch): for each group up to SALTS sketches, which together hold all its values.
+    """(groups..., part, n, sketch): for each group a sketch of every partition that has values of it, together all values;
+    ``part`` is the partition.
 
-    Null values take no part; null group columns are a group. With ``once`` rows repeated under that id in one group
-    count once. A group's rows are spread over several partitions and each partition is read as a stream in the order
-    of its groups, holding one sketch at a time, so that neither a large group nor many groups fill a task's memory.
-    Values are rounded down to whole numbers.
+    Null values, and values that are no number, take no part; null group columns are a group. With ``once`` rows repeated
+    under that id in one group count once, with the least value, and only they are shuffled, by group and id: no group, however large, is
+    one task's. A task holds a bounded number of values, and begins new sketches when it has reached it. Which values
+    meet in a sketch follows the partitions, so percentiles of large groups may differ within the error.
     """
-    salt = F.pmod(F.hash(once if once else value), F.lit(SALTS)) if once else F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-    rows = df.filter(F.col(value).isNotNull()).select(*groups, *([once] if once else []), F.floor(value).cast("bigint").alias("_v"), salt.cast("byte").alias("_salt"))
-    rows = rows.repartition(*groups, "_salt")
+    whole = df.schema[value].dataType.simpleString() in _WHOLE
+    rows = df.select(*groups, *([once] if once else []), F.col(value).cast("bigint" if whole else "double").alias("_v")).filter("_v IS NOT NULL" if whole else "_v IS NOT NULL AND NOT isnan(_v)")
     if once:
-        rows = rows.groupBy(*groups, "_salt", once).agg(F.min("_v").alias("_v"))
-    rows = rows.select(*groups, "_salt", "_v").sortWithinPartitions(*groups, "_salt", "_v")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    width = len(groups)
+        rows = rows.groupBy(*groups, once).agg(F.min("_v").alias("_v"))
+    rows = rows.select(*groups, F.spark_partition_id().alias("part"), "_v")
+    width, kind = len(groups), np.int64 if whole else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, current, done = None, Sketch(section), []
-
-        def flush(schema):
-            cols = [pa.array([k[i] for k, _ in done], schema.field(i).type) for i in range(width)]
-            cols += [pa.array([s.n for _, s in done], pa.int64()), pa.array([s.dump() for _, s in done], pa.binary())]
-            done.clear()
-            return pa.RecordBatch.from_arrays(cols, names=[*groups, "n", "sketch"])
-
-        schema = None
+        held: dict[tuple, Sketch] = {}
+        waiting: dict[tuple, list[np.ndarray]] = {}
+        size, schema, part = 0, None, 0
+
+        def flush():
+            for key, parts in waiting.items():
+                held.setdefault(key, Sketch(section, kind)).add(np.concatenate(parts))
+            waiting.clear()
+
+        def out():
+            cols = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(width)]
+            cols += [pa.array([part] * len(held), pa.int32()), pa.array([s.n for s in held.values()], pa.int64()), pa.array([s.dump() for s in held.values()], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[*groups, "part", "n", "sketch"])
+
+        pending = 0
         for b in batches:
-            schema = b.schema
             if not len(b):
                 continue
+            schema, part = b.schema, b.column(width)[0].as_py()
             values = b.column(width + 1).to_numpy(zero_copy_only=False)
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(width + 1)), strict=True))
-            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                if keys[lo] != key:
-                    if current.n:
-                        done.append((key, current))
-                    key, current = keys[lo], Sketch(section)
-                current.add(values[lo:hi])
-            if len(done) >= 1000:
-                yield flush(schema)
-        if current.n:
-            done.append((key, current))
-        if done:
-            yield flush(schema)
-
-    fields = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    return rows.mapInArrow(run, f"{fields}, n bigint, sketch binary")
+            # Each distinct key of the batch once, and the rows' codes into them.
+            codes, keys = np.zeros(len(b), np.int64), [()]
+            for i in range(width):
+                d = b.column(i).dictionary_encode(null_encoding="encode")
+                words = d.dictionary.to_pylist()
+                codes = codes * len(words) + d.indices.to_numpy(zero_copy_only=False)
+                used, codes = np.unique(codes, return_inverse=True)
+                keys = [(*keys[u // len(words)], words[u % len(words)]) for u in used.tolist()]
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for key, piece in zip(keys, np.split(values[order], cuts), strict=True):
+                waiting.setdefault(key, []).append(piece)
+            pending += len(b)
+            if pending >= HELD // 4:
+                flush()
+                pending = 0
+                size = sum(sum(map(len, s.levels)) for s in held.values())
+                if size >= HELD:
+                    yield out()
+        flush()
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, f"{_kinds(rows, groups)}part int, n bigint, sketch binary")
 
 
 def merged(sketched: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., n, sketch): one sketch per group, from any number of its parts."""
-    kinds = {f.name: f.dataType.simpleString() for f in sketched.schema.fields}
+    """(groups..., part, n, sketch): one sketch per group (``part`` 0), from any number of its parts. Parts are merged by the
+    dozens first, so that no task loads all sketches of a group."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = sorted(part["sketch"])  # in a fixed order, so that the result is the same in every run
+        first, *rest = sorted(part["sketch"])  # in a fixed order, so that the same parts give the same result
         total = Sketch.load(first)
         for data in rest:
             total.merge(Sketch.load(data))
-        return part[groups].iloc[:1].assign(n=total.n, sketch=[total.dump()])
+        return part[groups].iloc[:1].assign(part=part["part"].iloc[0], n=total.n, sketch=[total.dump()])
 
-    fields = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    return sketched.groupBy(*groups).applyInPandas(run, f"{fields}, n bigint, sketch binary")
+    shape = f"{_kinds(sketched, groups)}part int, n bigint, sketch binary"
+    some = sketched.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy(*groups, "part").applyInPandas(run, shape)
+    return some.withColumn("part", F.lit(0)).groupBy(*groups).applyInPandas(run, shape)
 
 
 def percentiles(sketched: DataFrame, groups: list[str], qs: list[int]) -> DataFrame:
-    """(groups..., n, q, value): percentiles ``qs`` (0 to 100) of each group's sketch."""
-    kinds = {f.name: f.dataType.simpleString() for f in sketched.schema.fields}
+    """(groups..., n, q, value): percentiles ``qs`` (0 to 100) of each group's sketch, as doubles."""
     shares = [q / 100 for q in qs]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = p[[*groups, "n"]].loc[p.index.repeat(len(qs))].reset_index(drop=True)
             values = [v for s in p["sketch"] for v in Sketch.load(s).quantiles(shares)]
-            yield out.assign(q=np.tile(np.asarray(qs, np.int32), len(p)), value=pd.array(values, dtype="Int64"))
+            yield out.assign(q=np.tile(np.asarray(qs, np.int32), len(p)), value=np.array(values, float))
 
-    fields = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    return sketched.mapInPandas(run, f"{fields}, n bigint, q int, value bigint")
+    return sketched.mapInPandas(run, f"{_kinds(sketched, groups)}n bigint, q int, value double")
 
 
 def over_limits(found: DataFrame, limits: DataFrame) -> DataFrame:
