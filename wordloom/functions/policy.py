@@ -12,6 +12,7 @@ TEXT_REASONS = {0x80: "PASSWORD", 0x90: "VISIBLE_PASSWORD", 0xE0: "WEB_PASSWORD"
 SAFE_TEXT = (0x00, 0x30, 0x40, 0x50, 0x60, 0x70, 0xA0, 0xB0, 0xC0)
 NUMERIC_PASSWORD, NO_SUGGESTIONS, NO_LEARNING = 0x10, 0x80000, 0x1000000
 PERSON_NAME, POSTAL_ADDRESS = 0x60, 0x70
+# Words of a hint or name that speak of a one-time code.
 CODE_WORDS = (
     "otp", "one-time", "one time", "onetime", "passcode", "pin", "verification code", "verify code", "security code", "auth code", "2fa", "mfa",
     "sms code", "confirmation code", "קוד אימות", "קוד חד", "סיסמה חד", "קוד אבטחה", "קוד זיהוי",

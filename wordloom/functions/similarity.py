@@ -79,7 +79,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def size_ceiling(a: Column, b: Column) -> Column:
-    """The most that the Jaccard of two sets of these sizes can be; 0 if either is empty."""
+    """Upper bound of ``jaccard`` from the numbers of distinct members alone: the smaller over the larger; 0 if either is empty."""
     m, n = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
     return F.coalesce(F.try_divide(F.least(m, n).cast("double"), F.greatest(m, n)), F.lit(0.0))
 

@@ -14,6 +14,8 @@ from wordloom.profiles import HEBREW, Profile
 
 GERESH, GERSHAYIM = "׳", "״"
 MARKS = "״׳\"'"
+#: Unicode's blanks, as a regex class body.
+BLANKS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}"
 #: Picture ranges of the character classes.
 EMOJI = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}"
 #: Character classes in order of precedence, as regex class bodies (white space comes first).
@@ -64,9 +66,14 @@ def is_phonetic(s: Column) -> Column:
     return s.rlike(rf"[גזצת]{GERESH}\z")
 
 
+#: Fixed value: an abbreviation is one to six letters, a double mark and one to four more, or two to eight and a single mark,
+#: with no word character on either side.
+ABBREVIATION = r"(?<![\wא-ת])([א-ת]{1,6}[\"״][א-ת]{1,4}|[א-ת]{2,8}['׳])(?![\wא-ת])"
+
+
 def abbreviations(s: Column) -> Column:
     """Array of the abbreviations in a text, in order."""
-    return F.regexp_extract_all(s, F.lit(r"(?<![\wא-ת])([א-ת]{1,6}[\"״][א-ת]{1,4}|[א-ת]{2,8}['׳])(?![\wא-ת])"), F.lit(1))
+    return F.regexp_extract_all(s, F.lit(ABBREVIATION), F.lit(1))
 
 
 def tokens(s: Column, p: Profile = HEBREW) -> Column:
@@ -80,11 +87,12 @@ def sentences(s: Column, p: Profile = HEBREW) -> Column:
 
 
 def token_key(s: Column, p: Profile = HEBREW) -> Column:
-    """The token sequence that two registers are compared on."""
+    """A text's tokens with single blanks between: equal for texts that differ in anything but letters."""
     return F.array_join(tokens(s, p), " ")
 
 
-#: Fixed values: (pattern, replacement) of the markup rules before and after the nested templates.
+#: Fixed values: (pattern, replacement) of the markup rules before and after the nested templates. Each block tag has a rule of
+#: its own, as a rule for all would need a back reference, which not every engine has.
 BEFORE = (
     (r"<ref[^>]*/>", " "), (r"(?s)<ref[^>]*>.*?</ref>", " "), (r"(?s)<!--.*?-->", " "),
     *((rf"(?s)<{t}\b.*?</{t}>", " ") for t in ("math", "code", "pre", "syntaxhighlight", "gallery", "timeline")),
@@ -112,7 +120,7 @@ def strip_markup(s: Column) -> Column:
 
 def char_class(c: Column) -> Column:
     """Class of one character; every character has exactly one."""
-    out = F.when(c.rlike(r"\A[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]\z"), F.lit("whitespace"))
+    out = F.when(c.rlike(rf"\A[{BLANKS}]\z"), F.lit("whitespace"))
     for name, body in CLASSES:
         out = out.when(c.rlike(rf"\A[{body}]\z"), F.lit(name))
     return F.when(c.isNotNull(), out.otherwise(F.lit("other")))
@@ -125,14 +133,17 @@ PRESENCE = (
 )
 
 
+#: Kinds of tokens outside the lexicon, in order of precedence.
+OOV_KINDS = (
+    (f"[{EMOJI}]", "emoji"), (r"\A[0-9]+\z", "digits"), (r"\A[A-Za-z]+\z", "latin"), (r"\A[^\wא-ת]+\z", "punctuation"),
+    (r"[A-Za-z].*[א-ת]|[א-ת].*[A-Za-z]", "mixed"), (r"\A[׳״'\"]*[א-ת]+[׳״'\"][א-ת׳״'\"]*\z|\A[׳״'\"]+[א-ת]+\z", "marked"), (r"\A[א-ת]+\z", "word"),
+)
+
+
 def oov_kind(t: Column) -> Column:
     """What a token outside the lexicon is; the first kind that fits."""
-    rules = (
-        (f"[{EMOJI}]", "emoji"), (r"\A[0-9]+\z", "digits"), (r"\A[A-Za-z]+\z", "latin"), (r"\A[^\wא-ת]+\z", "punctuation"),
-        (r"[A-Za-z].*[א-ת]|[א-ת].*[A-Za-z]", "mixed"), (r"\A[׳״'\"]*[א-ת]+[׳״'\"][א-ת׳״'\"]*\z|\A[׳״'\"]+[א-ת]+\z", "marked"), (r"\A[א-ת]+\z", "word"),
-    )
     out = F.when(t.isNull(), F.lit(None))
-    for pattern, name in rules:
+    for pattern, name in OOV_KINDS:
         out = out.when(t.rlike(pattern), F.lit(name))
     return out.otherwise(F.lit("other"))
 
@@ -177,5 +188,8 @@ def describe(word: Column, kind: Column, replaces: Column) -> Column:
 
 
 def storable(s: Column) -> Column:
-    """Why a word can't be kept in a personal dictionary; null if it can."""
-    return F.when(s.isNull() | (F.trim(s) == ""), F.lit("empty")).when(F.length(s) > 32, F.lit("too long")).when(s.rlike(r"\s"), F.lit("more than one word")).when(~is_word(s), F.lit("not letters"))
+    """Why a word can't be kept in a personal dictionary; null if it can. Points don't count as anything but length."""
+    word = strip_points(s)
+    fits = (F.length(s) <= 32) & (F.length(word) <= 32) & is_word(word)
+    why = F.when(s.isNull() | (s == ""), F.lit("empty")).when(F.coalesce(fits, F.lit(False)), F.lit(None))
+    return why.when(F.length(s) > 32, F.lit("too long")).when(s.rlike(rf"[{BLANKS}]"), F.lit("more than one word")).when(s.rlike(r"\p{Nd}"), F.lit("digits")).otherwise(F.lit("not letters"))

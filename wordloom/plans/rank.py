@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as X
 from wordloom.functions.similarity import adjacency_map, osa
 from wordloom.operators import lookup as L
 from wordloom.plans import tables as T
@@ -36,6 +37,12 @@ def suggestions(cand: DataFrame, n: int = SUGGESTIONS) -> DataFrame:
     return top(cand, ["typed"], [F.col("cost"), F.desc("log_freq"), F.col("word_id")], n)
 
 
+def truncated(cand: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` candidates of each typed word in the words' order, as a search that stops there finds them; ``hit`` counts
+    them. Nothing else cuts candidates off."""
+    return top(cand, ["typed"], [F.col("word")], most, "hit")
+
+
 def reranked(cand: DataFrame, p: Profile = HEBREW, adjacent_cost: int = 80) -> DataFrame:
     """Candidates with the cost of another model: the set stays as the neutral model retrieved it."""
     return cand.withColumn("cost", osa(F.col("typed"), F.col("word"), adjacency_map(p), adjacent_cost))
@@ -164,3 +171,60 @@ def detected_wide(ev: DataFrame, margin: int = DETECT_MARGIN, skip_margin: int =
         ok = rest.filter(F.col("variant_freq") - F.col("typed_freq") >= prior_margin)
         out = out.unionByName(top(ok, by, [F.desc("variant_freq"), F.col("variant_id")], 1).drop("rank").withColumn("path", F.lit("prior")).withColumn("strength", F.col("variant_freq").cast("int")))
     return out
+
+
+def ordinary(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS, user: DataFrame | None = None, edits: int = MAX_EDITS) -> DataFrame:
+    """(current, prev, word, kind, rank) of distinct contexts (current, prev): what a word begun after a known word ``prev`` (an id or
+    null) is offered.
+
+    Nothing begun, or a whole abbreviation of ``abbr`` (bare, canonical): next words. Letters that abbreviate a form: that
+    form, first if they are no word and before corrections, second to the completions if they are. Anything that isn't
+    letters: nothing. A known word (as it stands or after a prefix): completions. Other letters: completions and
+    corrections, mixed by ``policy``. A word offered twice keeps its better place.
+    """
+    contexts = materialize(contexts.select(F.coalesce("current", F.lit("")).alias("current"), "prev").distinct(), "contexts")
+    words = contexts.filter("current <> ''").select(F.col("current").alias("word")).distinct().withColumn("bare", X.strip_marks(F.col("word")))
+    info = words.join(abbr.select(F.col("canonical").alias("word"), F.lit(True).alias("whole")), "word", "left")
+    info = info.join(abbr.select("bare", F.col("canonical").alias("form")), "bare", "left").withColumn("form", F.when(F.col("form") != F.col("word"), F.col("form")))
+    info = info.join(lex.select("word", F.lit(True).alias("listed")), "word", "left").join(valid(words.filter(X.is_word(F.col("word"))), lex).select("word", F.lit(True).alias("valid")), "word", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    info = materialize(info.select("word", "form", flag(F.col("whole")).alias("whole"), flag(F.col("listed")).alias("listed"), flag(F.col("valid")).alias("valid"), X.is_word(F.col("word")).alias("letters")), "words")
+    rows = contexts.join(small(info.withColumnRenamed("word", "current")), "current", "left")
+    after = rows.filter((F.col("current") == "") | F.col("whole"))
+    names = small(lex.select(F.col("word_id").alias("second_id"), "word"))
+    nxt = next_words(bigrams, user, n).withColumnRenamed("rank", "place").join(names, "second_id").select(F.col("first_id").alias("prev"), "word", "place")
+    out = after.select("current", "prev").join(nxt, "prev").select("current", "prev", "word", F.lit("NEXT_WORD").alias("kind"), "place")
+    begun = rows.filter((F.col("current") != "") & ~F.col("whole"))
+    forms = begun.filter("form IS NOT NULL").select("current", "prev", F.col("form").alias("word"), F.lit("ABBREVIATION").alias("kind"), F.when(F.col("listed"), 3).otherwise(-1).alias("place"))
+    first, second = {"CORRECTIONS_FIRST": (1_000_000, 0), "INTERLEAVED": (0, 1)}.get(policy, (0, 1_000_000))
+    finish = begun.filter(F.col("letters") & (F.col("form").isNull() | F.col("listed"))).select(F.col("current").alias("prefix"), "prev")
+    finish = completions(finish, lex, bigrams, n=n, user=user).select(F.col("prefix").alias("current"), "prev", "word", F.lit("COMPLETION").alias("kind"), (F.col("rank") * 2 + first).alias("place"))
+    unsure = begun.filter(F.col("letters") & ~F.col("valid") & (F.col("form").isNull() | ~F.col("listed")))
+    fixes = suggestions(candidates(unsure.select(F.col("current").alias("typed")), lex, edits), n).select(F.col("typed").alias("current"), "word", (F.col("rank") * 2 + second).alias("place"))
+    fixes = unsure.select("current", "prev").join(fixes, "current").select("current", "prev", "word", F.lit("CORRECTION").alias("kind"), "place")
+    out = out.unionByName(forms).unionByName(finish).unionByName(fixes)
+    best = out.groupBy("current", "prev", "word").agg(F.min(F.struct("place", "kind")).alias("p")).select("current", "prev", "word", "p.kind", "p.place")
+    return top(best, ["current", "prev"], [F.col("place"), F.col("word")], n).drop("place")
+
+
+def predicted(requests: DataFrame, keys: list[str], lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, skips: DataFrame | None = None, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS, edits: int = MAX_EDITS, skip_margin: int = 0) -> DataFrame:
+    """(keys, word, kind, replaces, rank) of requests (keys, current, c1, c2, c3, c4): the word begun and those completed before it,
+    the nearest first; null where there is none.
+
+    The second last completed word has known words on both sides; if it looks like another word's error, that finding
+    comes first and the ordinary suggestions follow, ``n`` in all. Both are worked out once per distinct surroundings.
+    Points are taken off before words are looked up; ``replaces`` is the word as it was written.
+    """
+    r = requests.select(*keys, F.coalesce(X.strip_points(F.col("current")), F.lit("")).alias("current"), F.col("c2").alias("replaces"), F.length("c2").alias("_len"), *(X.strip_points(F.col(c)).alias(c) for c in ("c1", "c2", "c3", "c4")))
+    r = L.ids(r, lex, "c1", "next", id="c2", prev="c3", prev2="c4").drop("c1")
+    r = materialize(r.withColumn("next2", F.lit(None).cast("int")), "requests")
+    around = ["prev2", "prev", "id", "next"]
+    ev = evidence(r.filter("id IS NOT NULL AND _len >= 2").select(*around, "next2").distinct(), lex, bigrams, skips)
+    hit = detected_wide(ev, skip_margin=skip_margin, by=around).select(*(F.col(c).alias(f"_{c}") for c in around), F.col("variant").alias("found"))
+    on = (F.col("id") == F.col("_id")) & F.col("prev2").eqNullSafe(F.col("_prev2")) & F.col("prev").eqNullSafe(F.col("_prev")) & F.col("next").eqNullSafe(F.col("_next"))
+    r = r.join(hit, on, "left").select(*keys, "current", F.col("next").alias("prev"), "replaces", F.when(F.col("_len") >= 2, F.col("found")).alias("found"))
+    r = materialize(r, "found")
+    plain = ordinary(r.select("current", "prev"), lex, bigrams, abbr, policy, n, edits=edits).select(F.col("current").alias("_c"), F.col("prev").alias("_p"), "word", "kind", "rank")
+    usual = r.join(plain, (F.col("current") == F.col("_c")) & F.col("prev").eqNullSafe(F.col("_p"))).select(*keys, "word", "kind", F.lit(None).cast("string").alias("replaces"), (F.col("rank") + F.col("found").isNotNull().cast("int")).alias("rank")).filter(F.col("rank") <= n)
+    flagged = r.filter("found IS NOT NULL").select(*keys, F.col("found").alias("word"), F.lit("REAL_WORD_ERROR").alias("kind"), "replaces", F.lit(1).alias("rank"))
+    return flagged.unionByName(usual)

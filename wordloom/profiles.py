@@ -27,6 +27,7 @@ class Profile:
     rows: tuple[str, ...]
     #: Width, in keys, of a non-letter key at either end of a row.
     row_ends: tuple[tuple[float, float], ...]
+    #: Fixed value: what ends a sentence.
     boundary: str = r"[.!?;:\n׃]|--"
 
     @property

@@ -216,22 +216,6 @@ def q_evl19_rnd6_bootstrap(spark, d):
     return E.bootstrap(ids, "doc_id", _c("id").isNull())
 
 
-@query()
-def q_evl20_simulated_users(spark, d):
-    """Blocks of 80 sentences as users: 60 teach, 20 test the next word, with and without what was learnt."""
-    s = sents(spark, d).filter(F.size("tokens").between(4, 40))
-    numbered = W.blocks(W.numbered(s, ["doc_id", "sent_id"]), 80, 120).withColumn("history", _c("rn") % 80 < 60)
-    t = numbered.select("block", "rn", "history", F.posexplode("tokens").alias("pos", "token"))
-    ids = L.ids(t, lex(spark, d))
-    pairs = ids.withColumn("prev", F.lag("id").over(Window.partitionBy("block", "rn").orderBy("pos"))).filter("id IS NOT NULL AND prev IS NOT NULL")
-    pairs = materialize(pairs.select("block", "rn", "history", "prev", "id"), "blocks")
-    learnt = pairs.filter("history").groupBy("block", _c("prev").alias("first_id"), _c("id").alias("second_id")).agg(F.count("*").alias("cnt"), F.countDistinct("rn").alias("sessions")).filter("sessions >= 2")
-    top = R.top(learnt, ["block", "first_id"], [F.desc("cnt"), _c("second_id")], 3).select("block", _c("first_id").alias("prev"), _c("second_id").alias("id"), _c("rank").alias("mine"))
-    static = R.next_words(bi(spark, d)).select(_c("first_id").alias("prev"), _c("second_id").alias("id"), _c("rank").alias("theirs"))
-    test = pairs.filter("NOT history").join(small(static), ["prev", "id"], "left").join(top, ["block", "prev", "id"], "left")
-    return test.agg(F.count("*").alias("positions"), F.count("theirs").alias("static"), F.count_if(_c("theirs").isNotNull() | _c("mine").isNotNull()).alias("either"))
-
-
 @query(f"""WITH {BI}, {_EVID}, f AS (SELECT doc_id, sent_id, pos FROM ev WHERE context > 0 AND typed_ev = 0 AND variant_ev >= 21 GROUP BY ALL), s AS (SELECT DISTINCT doc_id, sent_id, pos FROM ev)
   SELECT doc_id, sent_id, pos, 'firing' AS kind FROM f UNION ALL SELECT doc_id, sent_id, pos, 'clean' FROM s ANTI JOIN f USING (doc_id, sent_id, pos) WHERE ('0x' || substr(sha256('harvest:' || doc_id || ':' || sent_id || ':' || pos), 1, 15))::BIGINT % 97 = 0""")
 def q_evl23_harvest(spark, d):

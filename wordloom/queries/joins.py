@@ -99,29 +99,47 @@ def q_join8_top3_fanout(spark, d):
     return L.by_prefix(p, lex(spark, d), (2, 3)).groupBy("prefix").agg(F.count("*").alias("words"), F.max("log_freq").alias("best"))
 
 
-def _oov(spark, d, longest=12):
-    """Unknown words of three letters or more; the SQL of the one-edit queries has none of over twelve."""
-    known = lex(spark, d).select("word")
-    words = _words(spark, d).filter(F.length("word") >= 3)
-    return (words if longest is None else words.filter(F.length("word") <= longest)).join(small(known), "word", "left_anti").select(_c("word").alias("typed"))
+def _oov(spark, d):
+    """Unknown words of three letters or more."""
+    return _words(spark, d).filter(F.length("word") >= 3).join(small(lex(spark, d).select("word")), "word", "left_anti").select(_c("word").alias("typed"))
 
 
-_ONE = f"""oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token WHERE length(token) BETWEEN 3 AND 12),
-  pos AS (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM oov), wpos AS (SELECT word_id, word, unnest(range(1, length(word) + 1)) AS i FROM lexicon WHERE length(word) <= 12),
+_ONE = """oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token WHERE length(token) >= 3),
+  pos AS (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM oov), wpos AS (SELECT word_id, word, unnest(range(1, length(word) + 1)) AS i FROM lexicon),
   cand AS (SELECT t, word_id FROM pos JOIN lexicon ON word = substr(t, 1, i - 1) || substr(t, i + 1)
     UNION SELECT t, word_id FROM wpos JOIN oov ON t = substr(word, 1, i - 1) || substr(word, i + 1)
     UNION SELECT t, word_id FROM pos p JOIN wpos w ON p.i = w.i AND length(t) = length(word) AND substr(t, 1, p.i - 1) = substr(word, 1, w.i - 1) AND substr(t, p.i + 1) = substr(word, w.i + 1)
     UNION SELECT t, word_id FROM pos JOIN lexicon ON word = substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) WHERE i < length(t))"""
 
 
+def two_sql(typed: str) -> str:
+    """two(t, word, cost): words within two edits of each of ``typed`` (t). Words that near share what is left after two deletions;
+    an optimal string alignment of two edits is two plain ones, or a swap with one edit on either side of it, not within."""
+    swapped = "substr(t, i + 1, 1) || substr(t, i, 1)"
+    rest = "(length(t) - i - 1)"
+    # The distances of DuckDB count bytes: letters are written in one byte each meanwhile.
+    latin = "abcdefghijklmnopqrstuvwxyzA"
+    ascii_ = lambda x: f"translate({x}, '{HEBREW.alphabet}', '{latin}')"
+    hebrew = lambda x: f"translate({x}, '{latin}', '{HEBREW.alphabet}')"
+    return f"""cut0 AS (SELECT k, w, s, unnest(range(0, length(s) + 1)) AS i FROM (SELECT 0 AS k, {ascii_('t')} AS w, {ascii_('t')} AS s FROM {typed} UNION ALL SELECT 1, {ascii_('word')}, {ascii_('word')} FROM lexicon)),
+  cut1 AS (SELECT DISTINCT k, w, CASE WHEN i = 0 THEN s ELSE substr(s, 1, i - 1) || substr(s, i + 1) END AS s FROM cut0),
+  cut2 AS (SELECT DISTINCT k, w, CASE WHEN i = 0 OR length(w) - length(s) > 1 THEN s ELSE substr(s, 1, i - 1) || substr(s, i + 1) END AS s FROM (SELECT *, unnest(range(0, length(s) + 1)) AS i FROM cut1)),
+  near2 AS (SELECT DISTINCT a.w AS t, b.w AS word FROM cut2 a JOIN cut2 b ON a.s = b.s AND a.k = 0 AND b.k = 1 WHERE abs(length(a.w) - length(b.w)) <= 2),
+  two0 AS (SELECT t, word, CASE WHEN damerau_levenshtein(t, word) <= 1 THEN damerau_levenshtein(t, word) WHEN levenshtein(t, word) = 2 THEN 2
+    WHEN damerau_levenshtein(t, word) = 2 AND len(list_filter(range(1, length(t)), lambda i:
+      (substr(word, 1, i - 1) = substr(t, 1, i - 1) AND substr(word, i, 2) = {swapped} AND damerau_levenshtein(substr(t, i + 2), substr(word, i + 2)) <= 1)
+      OR (length(word) >= {rest} + 2 AND right(word, {rest}) = right(t, {rest}) AND substr(word, length(word) - {rest} - 1, 2) = {swapped} AND damerau_levenshtein(substr(t, 1, i - 1), substr(word, 1, length(word) - {rest} - 2)) <= 1))) > 0 THEN 2 END AS cost FROM near2),
+  two AS (SELECT {hebrew('t')} AS t, {hebrew('word')} AS word, (cost * 100)::INT AS cost FROM two0 WHERE cost IS NOT NULL)"""
+
+
 @query(f"WITH {TOK}, {_ONE} SELECT t AS typed, word_id, 100 AS cost FROM cand")
 def q_join9_fuzzy_one_edit(spark, d):
     return L.fuzzy(_oov(spark, d), lex(spark, d), edits=1).select("typed", "word_id", "cost")
 
 
-@query()
+@query(f"WITH {TOK}, oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token WHERE length(token) >= 3), {two_sql('oov')} SELECT t AS typed, word_id, word, log_freq, cost FROM two JOIN lexicon USING (word)")
 def q_join9_fuzzy_two_edits(spark, d):
-    return L.fuzzy(_oov(spark, d, None), lex(spark, d), edits=2)
+    return L.fuzzy(_oov(spark, d), lex(spark, d), edits=2).select("typed", "word_id", "word", "log_freq", "cost")
 
 
 _SWAP = f"swaps(a, b) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for x in HEBREW.confusions for a, b in (x, x[::-1]))})"

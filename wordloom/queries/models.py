@@ -11,7 +11,7 @@ from wordloom.operators import users as U
 from wordloom.plans import rank as R
 from wordloom.plans import tables as T
 from wordloom.queries.common import BI, IDS, TOK, bi, lex, log_sql, sents, toks
-from wordloom.queries.joins import _AB, _ONE, _PREFIX, _STEMS, _SWAP, _VERB, _oov, _words, abbr
+from wordloom.queries.joins import _AB, _ONE, _PREFIX, _STEMS, _SWAP, _VERB, _oov, _words, abbr, two_sql
 from wordloom.session import materialize, small, table
 
 QUERIES, SQL = {}, {}
@@ -41,14 +41,17 @@ def q_mod2_top1_suggest_1edit(spark, d):
     return R.suggestions(R.candidates(_oov(spark, d), lex(spark, d), 1)).select("typed", "word", "cost", "rank")
 
 
-@query()
+_BAD2 = f"{_STEMS}, oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token WHERE length(token) >= 3), bad0 AS (SELECT t FROM oov WHERE t NOT IN (SELECT word FROM stems)), {two_sql('bad0')}"
+
+
+@query(f"WITH {TOK}, {_BAD2} SELECT t AS typed, word, cost, row_number() OVER (PARTITION BY t ORDER BY cost, log_freq DESC, word_id) AS rank FROM two JOIN lexicon USING (word) QUALIFY rank <= 3")
 def q_mod2_suggest_2edit(spark, d):
-    return R.suggestions(R.candidates(_oov(spark, d, None), lex(spark, d), 2)).select("typed", "word", "cost", "rank")
+    return R.suggestions(R.candidates(_oov(spark, d), lex(spark, d), 2)).select("typed", "word", "cost", "rank")
 
 
 @query()
 def q_mod3_rerank(spark, d):
-    return R.suggestions(R.reranked(R.candidates(_oov(spark, d, None), lex(spark, d), 2))).select("typed", "word", "cost", "rank")
+    return R.suggestions(R.reranked(R.candidates(_oov(spark, d), lex(spark, d), 2))).select("typed", "word", "cost", "rank")
 
 
 @query(f"WITH {TOK}, {_BAD} SELECT t AS typed, max(word) AS word FROM bad GROUP BY t HAVING count(*) = 1 AND max(log_freq) > 0")
@@ -56,6 +59,20 @@ def q_mod4_auto_replace(spark, d):
     return R.auto_replaced(R.candidates(_oov(spark, d), lex(spark, d), 1))
 
 
+@query(f"""WITH {TOK}, {_BAD2}, r AS (SELECT t, word, cost, log_freq, row_number() OVER w AS rank, lead(cost) OVER w AS nxt FROM two JOIN lexicon USING (word) WINDOW w AS (PARTITION BY t ORDER BY cost, log_freq DESC, word_id))
+  SELECT t AS typed, word FROM r WHERE rank = 1 AND cost <= 100 AND log_freq > 0 AND (nxt IS NULL OR nxt > cost)""")
+def q_mod4_auto_replace_2edit(spark, d):
+    """As ``q_mod4_auto_replace`` with all words within two edits as rivals."""
+    return R.auto_replaced(R.candidates(_oov(spark, d), lex(spark, d), 2))
+
+
+@query(f"""WITH {TOK}, {_BAD2} SELECT t AS typed, word, row_number() OVER (PARTITION BY t ORDER BY word) AS hit, cost FROM two QUALIFY hit <= 5""")
+def q_top6_truncated(spark, d):
+    """The first five hits of each search in the order of words, as a search that is cut off would find them; suggestions never
+    are."""
+    return R.truncated(R.candidates(_oov(spark, d), lex(spark, d), 2), 5).select("typed", "word", "hit", "cost")
+
+
 def contexts(spark, d, k=2):
     """Distinct (prefix of k letters, previous known word) of the corpus."""
     t = T.neighbours(sents(spark, d)).filter(F.length("token") > k).select(F.substring("token", 1, k).alias("prefix"), _c("w-1").alias("w")).distinct()
@@ -110,18 +127,10 @@ def q_mod11_attribution(spark, d):
     return R.completions(contexts(spark, d), lex(spark, d), bi(spark, d), (2,), user=everyone(spark, d)).select("prefix", "prev", "word", "score", "rank", "from_user")
 
 
-@query(f"""WITH {_AB}, one AS (SELECT bare, max(canonical) AS canonical FROM abbr GROUP BY bare HAVING count(*) = 1), c AS (SELECT bare, word, row_number() OVER (PARTITION BY bare ORDER BY log_freq DESC, word_id) AS rank FROM one JOIN lexicon ON starts_with(word, bare) AND word <> bare AND length(bare) <= 3),
-  k AS (SELECT bare, canonical, bare IN (SELECT word FROM lexicon) AS is_word FROM one), u AS (SELECT bare, canonical AS word, 'ABBREVIATION' AS kind, CASE WHEN is_word THEN 15 ELSE 0 END AS place FROM k UNION ALL SELECT bare, word, 'COMPLETION', rank * 10 FROM c WHERE rank <= 3)
-  SELECT bare, word, kind, row_number() OVER (PARTITION BY bare ORDER BY place) AS rank FROM u QUALIFY rank <= 3""")
-def q_mod7_abbreviation(spark, d):
-    """An abbreviation leads where its letters are no word, else it comes second."""
-    return _abbreviations(spark, d, (1, 2, 3))
-
-
-def _abbreviations(spark, d, lengths):
+def _abbreviations(spark, d):
     a, l = abbr(spark, d), lex(spark, d)
     k = a.join(l.select(_c("word").alias("w")), _c("bare") == _c("w"), "left").select("bare", "canonical", _c("w").isNotNull().alias("is_word"))
-    c = L.by_prefix(a.select(_c("bare").alias("prefix")), l, lengths).filter("word <> prefix").withColumnRenamed("prefix", "bare")
+    c = L.by_prefix(a.select(_c("bare").alias("prefix")), l).filter("word <> prefix").withColumnRenamed("prefix", "bare")
     c = R.top(c, ["bare"], [F.desc("log_freq"), _c("word_id")], 3)
     u = k.select("bare", _c("canonical").alias("word"), F.lit("ABBREVIATION").alias("kind"), F.when(_c("is_word"), 15).otherwise(0).alias("place"))
     u = u.unionByName(c.select("bare", "word", F.lit("COMPLETION").alias("kind"), (_c("rank") * 10).alias("place")))
@@ -131,9 +140,9 @@ def _abbreviations(spark, d, lengths):
 @query(f"""WITH {_AB}, one AS (SELECT bare, max(canonical) AS canonical FROM abbr GROUP BY bare HAVING count(*) = 1), c AS (SELECT bare, word, row_number() OVER (PARTITION BY bare ORDER BY log_freq DESC, word_id) AS rank FROM one JOIN lexicon ON starts_with(word, bare) AND word <> bare),
   k AS (SELECT bare, canonical, bare IN (SELECT word FROM lexicon) AS is_word FROM one), u AS (SELECT bare, canonical AS word, 'ABBREVIATION' AS kind, CASE WHEN is_word THEN 15 ELSE 0 END AS place FROM k UNION ALL SELECT bare, word, 'COMPLETION', rank * 10 FROM c WHERE rank <= 3)
   SELECT bare, word, kind, row_number() OVER (PARTITION BY bare ORDER BY place) AS rank FROM u QUALIFY rank <= 3""")
-def q_mod7_abbreviation_any_length(spark, d):
-    """As ``q_mod7_abbreviation``, with completions of abbreviations of any length."""
-    return _abbreviations(spark, d, None)
+def q_mod7_abbreviation(spark, d):
+    """An abbreviation leads where its letters are no word, else it comes second."""
+    return _abbreviations(spark, d)
 
 
 _MIX = f"""fix AS (SELECT t AS typed, word, row_number() OVER (PARTITION BY t ORDER BY log_freq DESC, word_id) AS rank FROM bad QUALIFY rank <= 3),
@@ -225,13 +234,6 @@ def q_top7_stm8_evict(spark, d):
     return U.evicted(U.user_pairs(_log(spark, d)), 100).select("user_id", "first_id", "second_id", "cnt", "sessions")
 
 
-@query(f"""WITH {BI}, {_PREFIX}, w AS (SELECT DISTINCT token FROM tok WHERE length(token) BETWEEN 4 AND 8), c AS (SELECT token, prefix, substr(token, length(prefix) + 1, 2) AS head FROM w JOIN prefixes ON starts_with(token, prefix) AND length(token) >= length(prefix) + 2),
-  f AS (SELECT substr(word, 1, 2) AS head, word, log_freq FROM lexicon QUALIFY row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY log_freq DESC, word_id) <= 3) SELECT token, prefix || word AS completion, log_freq, row_number() OVER (PARTITION BY token ORDER BY log_freq DESC, prefix || word, prefix) AS rank FROM c JOIN f USING (head) QUALIFY rank <= 3""")
-def q_mod18_prefix_completion(spark, d):
-    """After each prefix of a word of four to eight letters, completions of two letters of the rest."""
-    return _after_prefixes(spark, d, _words(spark, d).filter(F.length("word").between(4, 8)))
-
-
 def _after_prefixes(spark, d, words):
     from wordloom.profiles import HEBREW
 
@@ -245,8 +247,8 @@ def _after_prefixes(spark, d, words):
 
 @query(f"""WITH {BI}, {_PREFIX}, w AS (SELECT DISTINCT token FROM tok), c AS (SELECT token, prefix, substr(token, length(prefix) + 1, 2) AS head FROM w JOIN prefixes ON starts_with(token, prefix) AND length(token) >= length(prefix) + 2),
   f AS (SELECT substr(word, 1, 2) AS head, word, log_freq FROM lexicon QUALIFY row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY log_freq DESC, word_id) <= 3) SELECT token, prefix || word AS completion, log_freq, row_number() OVER (PARTITION BY token ORDER BY log_freq DESC, prefix || word, prefix) AS rank FROM c JOIN f USING (head) QUALIFY rank <= 3""")
-def q_mod18_prefix_completion_any_length(spark, d):
-    """As ``q_mod18_prefix_completion``, of words of any length."""
+def q_mod18_prefix_completion(spark, d):
+    """After each prefix of a word, completions of two letters of the rest."""
     return _after_prefixes(spark, d, _words(spark, d))
 
 

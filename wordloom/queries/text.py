@@ -187,7 +187,8 @@ def q_str25_describe(spark, d):
     return table(spark, d, "label_keys", "typed", "other", "path").distinct().withColumn("says", X.describe(_c("other"), kind, _c("typed")))
 
 
-@query("""SELECT DISTINCT w, CASE WHEN w IS NULL OR trim(w) = '' THEN 'empty' WHEN length(w) > 32 THEN 'too long' WHEN regexp_matches(w, '\\s') THEN 'more than one word' WHEN NOT regexp_full_match(w, '[א-ת]+') THEN 'not letters' END AS why FROM (SELECT unnest(options) AS w FROM label_items)""")
+@query(f"""WITH o AS (SELECT DISTINCT unnest(options) AS w FROM label_items), p AS (SELECT w, regexp_replace(nfc_normalize(w), '[\\x{{0591}}-\\x{{05C7}}]', '', 'g') AS b FROM o)
+  SELECT w, CASE WHEN w IS NULL OR w = '' THEN 'empty' WHEN length(w) <= 32 AND length(b) <= 32 AND regexp_full_match(b, '[א-ת]+') THEN NULL WHEN length(w) > 32 THEN 'too long' WHEN regexp_matches(w, '{_SPACE}') THEN 'more than one word' WHEN regexp_matches(w, '\\p{{Nd}}') THEN 'digits' ELSE 'not letters' END AS why FROM p""")
 def q_str26_storable(spark, d):
     return _options(spark, d).select("w", X.storable(_c("w")).alias("why"))
 
