@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.session import small
@@ -190,16 +190,23 @@ def merged(sketched: DataFrame, groups: list[str]) -> DataFrame:
     """(groups..., part, n, sketch): one sketch per group (``part`` 0), from any number of its parts. Parts are merged by the
     dozens first, so that no task loads all sketches of a group."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = sorted(part["sketch"])  # in a fixed order, so that the same parts give the same result
-        total = Sketch.load(first)
-        for data in rest:
-            total.merge(Sketch.load(data))
-        return part[groups].iloc[:1].assign(part=part["part"].iloc[0], n=total.n, sketch=[total.dump()])
-
-    shape = f"{_kinds(sketched, groups)}part int, n bigint, sketch binary"
-    some = sketched.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy(*groups, "part").applyInPandas(run, shape)
-    return some.withColumn("part", F.lit(0)).groupBy(*groups).applyInPandas(run, shape)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for first, *rest in p["sketch"]:  # in a fixed order, so that the same parts give the same result
+                if rest:
+                    total = Sketch.load(first)
+                    for data in rest:
+                        total.merge(Sketch.load(data))
+                    first = total.dump()
+                out.append(first)
+            yield p.assign(sketch=out)
+
+    def step(df: DataFrame, part: Column) -> DataFrame:
+        lists = df.withColumn("part", part).groupBy(*groups, "part").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("sketch")).alias("sketch"))
+        return lists.mapInPandas(run, f"{_kinds(sketched, groups)}part int, n bigint, sketch binary")
+
+    return step(step(sketched, F.floor(F.col("part") / FAN).cast("int")), F.lit(0))
 
 
 def percentiles(sketched: DataFrame, groups: list[str], qs: list[int]) -> DataFrame:
