@@ -31,8 +31,8 @@ def learnt(taught: DataFrame, by: list[str], sessions: Column | int = 2, weight:
     """(by, first_id, second_id, cnt, log_count): what users learnt from (by, at, first_id, second_id), pairs of at least
     ``sessions`` sentences; ``weight`` is how often one observation counts."""
     one = F.lit(1) if weight is None else weight
-    g = taught.groupBy(*by, "first_id", "second_id").agg(F.sum(one).alias("cnt"), F.countDistinct("at").alias("sessions"))
-    return g.filter(F.col("sessions") >= sessions).withColumn("log_count", log_scale(F.col("cnt"))).drop("sessions")
+    g = taught.groupBy(*by, "first_id", "second_id").agg(F.sum(one).alias("cnt"), F.countDistinct("at").alias("_in"))
+    return g.filter(F.col("_in") >= sessions).withColumn("log_count", log_scale(F.col("cnt"))).drop("_in")
 
 
 def bounded(log: Column, weight: Column | float, cap: int = USER_CAP) -> Column:

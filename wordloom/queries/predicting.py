@@ -69,9 +69,9 @@ def q_evl15_orderings(spark, d):
 
 
 _USERS = f"""{IDS}, el AS (SELECT doc_id, sent_id, row_number() OVER (ORDER BY doc_id, sent_id) - 1 AS rn FROM toks WHERE len(a) BETWEEN 4 AND 40),
-  bl AS (SELECT *, rn // 80 AS block, rn % 80 AS at, count(*) OVER (PARTITION BY rn // 80) AS size FROM el), us AS (SELECT doc_id, sent_id, block, at FROM bl WHERE size = 80 AND block % 2 = 1),
+  bl AS (SELECT *, rn // 80 AS block, rn % 80 AS "at", count(*) OVER (PARTITION BY rn // 80) AS size FROM el), us AS (SELECT doc_id, sent_id, block, "at" FROM bl WHERE size = 80 AND block % 2 = 1),
   nb AS (SELECT doc_id, sent_id, pos, id AS f, lead(id) OVER w AS s, lead(pos) OVER w AS np FROM ids WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
-  pr AS (SELECT block, at, coalesce(f, -1) AS f, coalesce(s, -1) AS s FROM nb JOIN us USING (doc_id, sent_id) WHERE np IS NOT NULL),
+  pr AS (SELECT block, "at", coalesce(f, -1) AS f, coalesce(s, -1) AS s FROM nb JOIN us USING (doc_id, sent_id) WHERE np IS NOT NULL),
   st0 AS (SELECT f, s, count(*) AS cnt FROM nb ANTI JOIN us USING (doc_id, sent_id) WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2), st AS (SELECT *, {log_sql('cnt')} AS lc FROM st0 WHERE cnt >= 5),
   st16 AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY f ORDER BY cnt DESC, s) <= 16)"""
 
@@ -79,9 +79,9 @@ _USERS = f"""{IDS}, el AS (SELECT doc_id, sent_id, row_number() OVER (ORDER BY d
 def _arms_sql(arms):
     rows = ", ".join(f"('{a}', {h}, {s}, {w}::DOUBLE)" for a, h, s, w in arms)
     return f"""WITH {_USERS}, arms(arm, history, sessions, weight) AS (VALUES {rows}), rw AS (SELECT * FROM arms, pr),
-  ln AS (SELECT arm, block, f, s, weight, count(*) AS cnt FROM rw WHERE at < history AND weight > 0 AND f >= 0 GROUP BY arm, block, f, s, weight, sessions HAVING count(DISTINCT at) >= sessions),
+  ln AS (SELECT arm, block, f, s, weight, count(*) AS cnt FROM rw WHERE "at" < history AND weight > 0 AND f >= 0 GROUP BY arm, block, f, s, weight, sessions HAVING count(DISTINCT "at") >= sessions),
   l16 AS (SELECT *, weight * least({log_sql('cnt')}, 32) AS term FROM ln QUALIFY row_number() OVER (PARTITION BY arm, block, f ORDER BY cnt DESC, s) <= 16),
-  ask AS (SELECT * FROM rw WHERE at >= history), q AS (SELECT DISTINCT arm, block, f FROM ask WHERE f >= 0),
+  ask AS (SELECT * FROM rw WHERE "at" >= history), q AS (SELECT DISTINCT arm, block, f FROM ask WHERE f >= 0),
   cd AS (SELECT arm, block, f, s, sum(x) AS x FROM (SELECT arm, block, q.f, s, lc::DOUBLE AS x FROM q JOIN st16 ON st16.f = q.f UNION ALL SELECT l.arm, l.block, l.f, s, term FROM l16 l SEMI JOIN q ON q.arm = l.arm AND q.block = l.block AND q.f = l.f) WHERE s >= 0 GROUP BY 1, 2, 3, 4),
   rk AS (SELECT arm, block, f, s, row_number() OVER (PARTITION BY arm, block, f ORDER BY x DESC, s) AS rank FROM cd QUALIFY rank <= 3), off AS (SELECT DISTINCT arm, block, f FROM rk)
   SELECT ask.arm, count(*) AS attempts, count(off.f) AS offered, count(*) FILTER (rank = 1) AS top1, count(rank) AS top3 FROM ask LEFT JOIN rk USING (arm, block, f, s) LEFT JOIN off ON off.arm = ask.arm AND off.block = ask.block AND off.f = ask.f GROUP BY 1"""
@@ -120,9 +120,9 @@ def q_evl21_learning_sweeps(spark, d):
     return _evaluated(spark, d, _SWEEP)
 
 
-_DIR = f"""WITH {_USERS}, tt AS (SELECT * FROM pr WHERE at < 40), ask AS (SELECT * FROM pr WHERE at >= 40), q AS (SELECT DISTINCT block, f FROM ask),
-  g AS (SELECT block, tt.f, tt.s, count(*) AS c1, sum(CASE WHEN lc > 40 THEN 4 ELSE 1 END)::BIGINT AS c4, count(*) FILTER (at % 2 = 0) AS cb FROM tt LEFT JOIN st ON st.f = tt.f AND st.s = tt.s GROUP BY 1, 2, 3 HAVING count(DISTINCT at) >= 2),
-  w AS (SELECT block, s, count(*) AS c FROM tt GROUP BY 1, 2 HAVING count(DISTINCT at) >= 2),
+_DIR = f"""WITH {_USERS}, tt AS (SELECT * FROM pr WHERE "at" < 40), ask AS (SELECT * FROM pr WHERE "at" >= 40), q AS (SELECT DISTINCT block, f FROM ask),
+  g AS (SELECT block, tt.f, tt.s, count(*) AS c1, sum(CASE WHEN lc > 40 THEN 4 ELSE 1 END)::BIGINT AS c4, count(*) FILTER ("at" % 2 = 0) AS cb FROM tt LEFT JOIN st ON st.f = tt.f AND st.s = tt.s GROUP BY 1, 2, 3 HAVING count(DISTINCT "at") >= 2),
+  w AS (SELECT block, s, count(*) AS c FROM tt GROUP BY 1, 2 HAVING count(DISTINCT "at") >= 2),
   mine AS (SELECT dir, block, f, s, CASE dir WHEN 'endorsed' THEN c4 ELSE c1 END AS cnt FROM g, (VALUES ('current'), ('word'), ('bucket'), ('endorsed')) v(dir)),
   m16 AS (SELECT *, 2.0::DOUBLE * least({log_sql('cnt')}, 32) AS x FROM mine QUALIFY row_number() OVER (PARTITION BY dir, block, f ORDER BY cnt DESC, s) <= 16),
   cd AS (SELECT dir, block, f, s, sum(x) AS x FROM (SELECT dir, block, q.f, s, lc::DOUBLE AS x FROM q JOIN st16 ON st16.f = q.f, (VALUES ('current'), ('word'), ('bucket'), ('endorsed')) v(dir) UNION ALL SELECT dir, m.block, m.f, s, x FROM m16 m SEMI JOIN q ON q.block = m.block AND q.f = m.f) WHERE s >= 0 GROUP BY 1, 2, 3, 4),
@@ -139,7 +139,7 @@ def q_evl22_learning_directions(spark, d):
     return Y.directions(pairs, static)
 
 
-@query(f"WITH {_USERS}, h AS (SELECT t.token, t.id FROM us JOIN ids t USING (doc_id, sent_id) WHERE at < 40) SELECT count(*) AS occurrences, count(DISTINCT token) AS forms FROM h WHERE id IS NULL")
+@query(f"WITH {_USERS}, h AS (SELECT t.token, t.id FROM us JOIN ids t USING (doc_id, sent_id) WHERE \"at\" < 40) SELECT count(*) AS occurrences, count(DISTINCT token) AS forms FROM h WHERE id IS NULL")
 def q_evl22_unknown_words(spark, d):
     """What keying unknown words one by one would add: their occurrences and forms in the histories."""
     users, _ = Y.split_blocks(sents(spark, d))
