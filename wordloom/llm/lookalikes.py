@@ -53,6 +53,8 @@ def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
 
 
 CLASS_OF, SPELLINGS = _classes()
+#: Hebrew letters that other scripts can spell, and marks: a word of them alone could be of another script.
+_ANY_SCRIPT = frozenset([c for c in CLASS_OF if "א" <= c <= "ת"] + [chr(o) for o in range(0x591, 0x5C8)])
 
 
 @lru_cache(maxsize=1 << 16)
@@ -92,6 +94,17 @@ def parts(ch: str) -> str:
     return "".join(parts(chr(int(x, 16))) for x in rest.split())
 
 
+class _Parts(dict):
+    """``parts`` by codepoint, for str.translate."""
+
+    def __missing__(self, o: int) -> str:
+        self[o] = out = parts(chr(o))
+        return out
+
+
+_PARTS = _Parts()
+
+
 def _tokens(text: str) -> list[str]:
     """Runs of letters, digits and marks, and single other characters, in order."""
     out, run = [], ""
@@ -145,6 +158,8 @@ def resolve(token: str, by_look: bool = False) -> tuple[str, bool, bool]:
     A token no single script can spell is cut into the longest runs, from its start, that one script can. ``by_look``:
     see ``_target``.
     """
+    if _POINTED.fullmatch(token) and not _ANY_SCRIPT.issuperset(token):
+        return token, False, False
     runs: list[tuple[str, set[str], frozenset[str]]] = []
     for ch in token:
         s = script_of(ch)
@@ -164,13 +179,15 @@ def resolve(token: str, by_look: bool = False) -> tuple[str, bool, bool]:
 
 
 _PLAIN = re.compile(r"[א-ת]+|[!-~]+")
+#: Hebrew letters with points and accents: such a word is Hebrew, and its own form once its marks are in order.
+_POINTED = re.compile(r"[א-ת][א-ת\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7]*")
 #: An ASCII token that Hebrew could spell.
 _HEBREW_LIKE = re.compile(r"(?<![0-9A-Za-z])[0-9]*[ol][0-9ol]*(?![0-9A-Za-z])")
 
 
 def _resolved(text: str, by_look: bool) -> list[tuple[str, bool, bool]]:
     """``resolve`` of each token of a text, in order."""
-    bare = "".join(map(parts, text)).strip()
+    bare = text.translate(_PARTS).strip()
     return [resolve(t, by_look) if len(t) > 1 or t.isalpha() else (t, False, False) for t in _tokens(unicodedata.normalize("NFC", bare).translate(_SPLIT))]
 
 
@@ -180,6 +197,8 @@ def normal_form(text: str | None) -> str | None:
         return None
     if _PLAIN.fullmatch(text):
         return text
+    if _POINTED.fullmatch(text):
+        return unicodedata.normalize("NFC", text)
     return unicodedata.normalize("NFC", "".join(t for t, _, _ in _resolved(text, False)))
 
 
@@ -190,6 +209,8 @@ def look_form(text: str | None) -> str | None:
         return None
     if _PLAIN.fullmatch(text) and not _HEBREW_LIKE.search(text):
         return text
+    if _POINTED.fullmatch(text):
+        return unicodedata.normalize("NFC", text)
     return unicodedata.normalize("NFC", "".join(t for t, _, _ in _resolved(text, True)))
 
 
