@@ -69,3 +69,9 @@ def ratio_text(x: Column) -> Column:
 
 def within(value: Column, expected: Column, tolerance: float = 0.01) -> Column:
     return F.abs(value - expected) <= expected * tolerance
+
+
+def scorer_bytes(vocabulary: Column | int, embedding: Column | int, hidden: Column | int, layers: Column | int) -> Column:
+    """Bytes of a recurrent scorer of 8-bit numbers with tied output: embeddings, projection, and per layer input, state and bias."""
+    v, e, h, n = (x if isinstance(x, Column) else F.lit(x) for x in (vocabulary, embedding, hidden, layers))
+    return v * e + e * h + n * (h * e + h * h + h)

@@ -164,6 +164,22 @@ def graphemes(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"(\X)"), F.lit(1))
 
 
+def backspace_width(before: Column) -> Column:
+    """Codepoints that one backspace takes: the last user-perceived character; one where nothing is known."""
+    return F.coalesce(F.greatest(F.lit(1), F.length(F.try_element_at(graphemes(before), F.lit(-1)))), F.lit(1))
+
+
+def key_plan(action: Column, output: Column, shifted: Column, before: Column) -> Column:
+    """Struct (command, text, count) that a key asks the editor for; an unknown action asks for nothing."""
+    plan = lambda command, text=None, count=None: F.struct(F.lit(command).alias("command"), (F.lit(None).cast("string") if text is None else text).alias("text"), (F.lit(None).cast("int") if count is None else count).alias("count"))
+    out = F.coalesce(output, F.lit(""))
+    typed = F.when(action == "CHARACTER", plan("COMMIT", F.when(shifted, F.upper(out)).otherwise(out))).when(action == "SPACE", plan("COMMIT", F.lit(" ")))
+    other = typed.when(action == "BACKSPACE", plan("DELETE", None, backspace_width(before))).when(action == "SWITCH_LAYOUT", plan("SWITCH_LAYOUT", out))
+    for name, command in (("ENTER", "EDITOR_ACTION"), ("SHIFT", "TOGGLE_SHIFT"), ("NEXT_INPUT_METHOD", "NEXT_INPUT_METHOD")):
+        other = other.when(action == name, plan(command))
+    return other
+
+
 def isolate_runs(s: Column) -> Column:
     """Runs of the other direction wrapped in isolates."""
     return F.regexp_replace(s, "[A-Za-z0-9]+", "⁨$0⁩")

@@ -57,6 +57,20 @@ def by_prefix(prefixes: DataFrame, lex: DataFrame, lengths: tuple[int, ...] | No
     return words.join(prefixes.select("prefix").distinct(), "prefix").select("prefix", "word_id", "word", "log_freq")
 
 
+def prefix_tree(lex: DataFrame) -> DataFrame:
+    """(prefix, depth, words, first_id, last_id, ends) of every beginning of a word: how many words begin so, the range of their ids,
+    and whether it is a word itself. Ids must follow the words' order: words between two that share a beginning share it
+    too, so a node whose range is wider than its words tells of an unsorted lexicon (see ``unsorted``)."""
+    heads = F.transform(F.when(F.length("word") > 0, F.sequence(F.lit(1), F.length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    rows = lex.select("word_id", "word", F.explode(heads).alias("prefix"))
+    return rows.groupBy("prefix").agg(F.length("prefix").alias("depth"), F.count("*").alias("words"), F.min("word_id").alias("first_id"), F.max("word_id").alias("last_id"), F.max(F.col("word") == F.col("prefix")).alias("ends"))
+
+
+def unsorted(tree: DataFrame) -> DataFrame:
+    """The nodes that only an unsorted lexicon, or one with repeated words, can have."""
+    return tree.filter(F.col("last_id") - F.col("first_id") + 1 != F.col("words"))
+
+
 def deletions(word: Column, most: int = 2) -> Column:
     """Array of a word and what is left of it after up to ``most`` letters are dropped."""
     out = F.array(word)

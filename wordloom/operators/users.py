@@ -42,3 +42,16 @@ def evicted(pairs: DataFrame, capacity: int = USER_CAPACITY, retain: float = RET
     over = over.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("user_id", "_part").orderBy(*order))).filter(F.col("_k") <= keep)
     over = over.withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).filter(F.col("_k") <= keep)
     return sized.filter(F.col("_n") <= capacity).select(*pairs.columns).unionByName(over.select(*pairs.columns))
+
+
+def remembered(log: DataFrame, wipes: DataFrame, pauses: DataFrame | None = None) -> DataFrame:
+    """The rows of a log that a model may still know: later than their user's last wipe (user_id, ts), and in none of their user's
+    pauses (user_id, since, until; ``until`` null for one that lasts). Wiping forgets, pausing only stops learning. Rows
+    without a time are forgotten by a wipe and not touched by a pause; users without either keep all."""
+    last = wipes.groupBy("user_id").agg(F.max("ts").alias("_wiped"))
+    out = log.join(last, "user_id", "left").filter(F.col("_wiped").isNull() | F.coalesce(F.col("ts") > F.col("_wiped"), F.lit(False))).select(*log.columns)
+    if pauses is not None:
+        p = pauses.groupBy("user_id").agg(F.collect_list(F.struct("since", "until")).alias("_p"))  # a user's own switches
+        off = F.exists("_p", lambda x: (F.col("ts") >= x["since"]) & (x["until"].isNull() | (F.col("ts") < x["until"])))
+        out = out.join(p, "user_id", "left").filter(~F.coalesce(off, F.lit(False))).select(*log.columns)
+    return out

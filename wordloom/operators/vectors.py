@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries per block, and rows per part.
@@ -40,3 +40,36 @@ def top_dot(queries: DataFrame, rows: DataFrame, k: int, id_: str = "vec_id", ve
     parts = q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).drop("k")
+
+
+#: Bits that a sum of products of 8-bit numbers is shifted down by.
+SHIFT = 7
+
+
+def weights8(rows: int, cols: int, seed: int) -> list[list[int]]:
+    """A matrix of 8-bit numbers that depends on its seed alone, by a linear congruence."""
+    x, out = seed, []
+    for _ in range(rows):
+        row = []
+        for _ in range(cols):
+            x = (x * 1103515245 + 12345) % 2**31
+            row.append((x >> 16) % 255 - 127)
+        out.append(row)
+    return out
+
+
+def matvec8(matrix: list[list[int]], x: Column) -> Column:
+    """Sums of products of each row with an array of 8-bit numbers, as whole numbers."""
+    m = F.array(*(F.array(*map(F.lit, row)) for row in matrix))
+    return F.transform(m, lambda row: F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0), lambda s, v: s + v))
+
+
+def requantised(sums: Column, shift: int = SHIFT) -> Column:
+    """Sums shifted down and clamped to 0 to 127."""
+    return F.transform(sums, lambda v: F.greatest(F.lit(0), F.least(F.lit(127), F.shiftright(v, shift))))
+
+
+def recurrent8(x: Column, h: Column, w_in: list[list[int]], w_state: list[list[int]], bias: list[int]) -> Column:
+    """The next state of one layer of 8-bit numbers from its input and state."""
+    both = F.zip_with(matvec8(w_in, x), matvec8(w_state, h), lambda a, b: a + b)
+    return requantised(F.zip_with(both, F.array(*map(F.lit, bias)), lambda a, b: a + b))

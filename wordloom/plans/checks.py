@@ -97,4 +97,15 @@ def summary(report: DataFrame) -> DataFrame:
 def strictly_by_group(df: DataFrame, group: str, key: str) -> DataFrame:
     """(denominator, findings): keys within a group that don't ascend strictly as stored by rank."""
     w = Window.partitionBy(group).orderBy("rank")
-    return _row(df.withColumn("_p", F.lag(key).over(w)), F.coalesce(F.col("_p") < F.col(key), F.lit(False)))
+    return _row(df.withColumn("_p", F.lag(key).over(w)), F.coalesce(F.col("_p") >= F.col(key), F.lit(False)))
+
+
+def against_stated(parsed: DataFrame, stats: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(src_file, read, rejected): whether each file's records read lie within a tolerance of the stated figure, and its records
+    rejected are exactly as many; NOT-MEASURED where none is stated."""
+    by = parsed.groupBy("src_file").agg(F.count("*").alias("r"), F.count("reason").alias("x"))
+    said = stats.groupBy("src_file").agg(F.max("rows_read").alias("sr"), F.max("rows_rejected").alias("sx"))
+    both = said.join(by, "src_file", "left").fillna(0, ["r", "x"])
+    verdict = lambda said, ok: F.when(said.isNull(), "NOT-MEASURED").when(ok, "PASS").otherwise("FAIL")
+    near = F.abs(F.col("r") - F.col("sr")) <= F.col("sr") * tolerance
+    return both.select("src_file", verdict(F.col("sr"), near).alias("read"), verdict(F.col("sx"), F.col("x") == F.col("sx")).alias("rejected"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import below, order_key, pick
+from wordloom.functions.hashing import below, order_key
 from wordloom.functions.numeric import wilson
 from wordloom.functions.similarity import neighbours
 from wordloom.profiles import HEBREW, Profile
@@ -14,6 +16,10 @@ from wordloom.profiles import HEBREW, Profile
 ATTEMPTS = 40
 
 
+#: Cumulative shares of a Poisson count of mean 1, up to a count that one in 10**12 exceeds.
+POISSON = tuple(sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(15))
+
+
 def corrupted(word: Column, attempt: Column, seed: str, p: Profile = HEBREW) -> Column:
     """A word with one letter inserted, dropped, replaced or swapped, drawn from the word and the attempt alone."""
     n = F.length(word)
@@ -45,24 +51,28 @@ def golden(words: DataFrame, lex: DataFrame, seed: str, how=corrupted) -> DataFr
     return ok.groupBy("word").agg(F.min_by("typo", "attempt").alias("typo"), F.min("attempt").alias("attempts")).select("typo", F.col("word").alias("expected"), "attempts")
 
 
-def accuracy(expected: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One row: attempts, and how many have the expected word first, among the ranked ones, or nothing offered."""
+def accuracy(expected: DataFrame, ranked: DataFrame, auto: DataFrame) -> DataFrame:
+    """One row: attempts, how many have the expected word first, among the ranked ones, nothing or something offered, and how many
+    would be replaced unasked by the expected word and by another."""
     by = ranked.groupBy("typed").agg(F.collect_list(F.struct("rank", "word")).alias("s"))  # as many as are suggested
-    j = expected.join(by, expected["typo"] == by["typed"], "left")
+    j = expected.join(by, expected["typo"] == by["typed"], "left").join(auto.select(F.col("typed").alias("_t"), F.col("word").alias("_auto")), F.col("typo") == F.col("_t"), "left")
     hit = F.coalesce(F.exists("s", lambda x: x["word"] == F.col("expected")), F.lit(False))
     first = F.coalesce(F.exists("s", lambda x: (x["rank"] == 1) & (x["word"] == F.col("expected"))), F.lit(False))
-    return j.agg(F.count("*").alias("attempts"), F.count_if(first).alias("top1"), F.count_if(hit).alias("top3"), F.count_if(F.col("s").isNull()).alias("none"))
+    return j.agg(
+        F.count("*").alias("attempts"), F.count_if(first).alias("top1"), F.count_if(hit).alias("top3"), F.count_if(F.col("s").isNull()).alias("none"), F.count_if(F.col("s").isNotNull()).alias("offered"),
+        F.count_if(F.col("_auto") == F.col("expected")).alias("auto_right"), F.count_if(F.col("_auto") != F.col("expected")).alias("auto_wrong"),
+    )
 
 
-def bootstrap(rows: DataFrame, unit: str, hit: Column, draws: int = 200, seed: str = "bootstrap") -> DataFrame:
+def bootstrap(rows: DataFrame, unit: str, hit: Column, draws: int = 1000, seed: str = "bootstrap") -> DataFrame:
     """(mean, lo, hi): the share of hits and the 95 % interval of resampled units.
 
     Each unit weighs in each draw as often as a Poisson count of mean 1 drawn by its own hash, so that nothing is
     shuffled by unit: sums per draw are all that moves. Units are summed up before they are multiplied by draws.
     """
     per = rows.groupBy(unit).agg(F.count("*").alias("n"), F.count_if(hit).alias("k"))
-    u = below(1_000_000, seed, F.col(unit), F.col("draw")) / 1_000_000.0
-    levels = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+    u = below(10**15, seed, F.col(unit), F.col("draw")) / 1e15
+    levels = POISSON
     weight = sum((F.when(u >= x, 1).otherwise(0) for x in levels), F.lit(0))
     drawn = per.select(unit, "n", "k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
     means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("w")).cast("double"), F.sum(F.col("n") * F.col("w"))).alias("m"))
@@ -114,7 +124,3 @@ def labeller(items: DataFrame, kind: str, seed: str = "labeller") -> DataFrame:
     real = {"agrees": F.col("other_option"), "disagrees": F.col("text_option"), "unsure": F.lit(4), "random": dice}[kind]
     known = F.when(s == "injected", F.col("other_option")).when(s == "clean", F.col("text_option"))
     return items.withColumn("choice", real if kind == "random" else F.coalesce(known, real).cast("int"))
-
-
-def letter_of(p: Profile, index: Column) -> Column:
-    return pick(p.alphabet, index)

@@ -59,8 +59,9 @@ def user_term(log: Column, weight: float = USER_WEIGHT, cap: int = USER_CAP) ->
     return weight * F.least(F.coalesce(log, F.lit(0)), F.lit(cap))
 
 
-def completions(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, lengths: tuple[int, ...] | None = None, n: int = SUGGESTIONS, bigram_weight: float = BIGRAM_WEIGHT, user: DataFrame | None = None) -> DataFrame:
-    """(prefix, prev, word_id, word, log_freq, score, rank) for distinct contexts (prefix, prev); ``prev`` may be null.
+def completions(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, lengths: tuple[int, ...] | None = None, n: int = SUGGESTIONS, bigram_weight: float = BIGRAM_WEIGHT, user: DataFrame | None = None, score: Column | None = None) -> DataFrame:
+    """(prefix, prev, word_id, word, log_freq, score, rank) for distinct contexts (prefix, prev); ``prev`` may be null. ``score`` is an
+    expression of one's own over word, log_freq and log_count (null without a pair) instead of the usual sum.
 
     Of each prefix the most frequent 24 words are candidates; the prefix itself is dropped after that. ``lengths``: see
     ``lookup.by_prefix``. ``user`` is one
@@ -70,7 +71,7 @@ def completions(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, lengths
     rows = contexts.select("prefix", "prev").distinct().join(cand, "prefix")
     side = small(bigrams.select(F.col("first_id").alias("prev"), F.col("second_id").alias("word_id"), "log_count"))
     rows = rows.join(side, ["prev", "word_id"], "left")
-    rows = rows.withColumn("score", F.col("log_freq") + bigram_weight * F.coalesce("log_count", F.lit(0)))
+    rows = rows.withColumn("score", F.col("log_freq") + bigram_weight * F.coalesce("log_count", F.lit(0)) if score is None else score)
     order = [F.desc("score"), F.desc("log_freq"), F.col("word_id")]
     if user is None:
         return top(rows, ["prefix", "prev"], order, n).select("prefix", "prev", "word_id", "word", "log_freq", "score", "rank")

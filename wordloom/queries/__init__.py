@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("raw", "text", "joins", "aggs", "models", "segmentation", "evals", "predicting", "flows")
+MODULES = ("raw", "text", "joins", "aggs", "counters", "models", "segmentation", "evals", "predicting", "flows", "states")
 
 
 def registries():

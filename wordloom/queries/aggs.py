@@ -88,13 +88,6 @@ def q_agg8_agg9_top_pairs(spark, d):
     return T.top_pairs(bi(spark, d), 500).select("first_id", "second_id", "cnt")
 
 
-@query(f"""WITH {IDS}, {"lev AS (SELECT *, length(token) >= 3 AND right(token, 1) IN ('ך','ם','ן','ף','ץ') AS fin FROM ids)"} SELECT source, count(*) AS tokens, count(*) FILTER (id IS NULL) AS oov, count(*) FILTER (fin) AS final, count(*) FILTER (fin AND id IS NULL) AS final_oov, round(count(*) FILTER (id IS NULL) / count(*), 6) AS oov_share FROM lev GROUP BY 1""")
-def q_agg12_agg13_counters(spark, d):
-    ids = L.ids(toks(spark, d), lex(spark, d)).withColumn("fin", (F.length("token") >= 3) & F.right("token", F.lit(1)).isin(*"ךםןףץ"))
-    none = _c("id").isNull()
-    return ids.groupBy("source").agg(F.count("*").alias("tokens"), F.count_if(none).alias("oov"), F.count_if("fin").alias("final"), F.count_if(_c("fin") & none).alias("final_oov"), F.round(F.count_if(none) / F.count("*"), 6).alias("oov_share"))
-
-
 _RATES = ", ".join(f"""round(count(*) FILTER (source = '{s}' AND regexp_matches(line, '{{p}}')) / nullif(count(*) FILTER (source = '{s}'), 0), 6) AS {s}""" for s in ("subtitles", "typed_comments", "wiki_dump"))
 
 

@@ -20,6 +20,12 @@ def log_sql(x: str) -> str:
     return f"least(255, greatest(0, round(round(log2({x} + 1) * 8, 6))))::INT"
 
 
+def hash_sql(line: str) -> str:
+    """The content hash of a group's lines."""
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(md5({line}), {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(4))
+    return f"sha256(concat_ws(',', count({line})::VARCHAR, {sums}))"
+
+
 #: bi(first_id, second_id, cnt, log_count): adjacent pairs seen at least five times.
 BI = f"""{IDS}, adj AS (SELECT id AS first_id, lead(id) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS second_id FROM ids),
   allbi AS (SELECT first_id, second_id, count(*) AS cnt FROM adj WHERE first_id IS NOT NULL AND second_id IS NOT NULL GROUP BY 1, 2),

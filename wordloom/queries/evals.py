@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
@@ -13,8 +12,8 @@ from wordloom.plans import rank as R
 from wordloom.plans import tables as T
 from wordloom.profiles import HEBREW
 from wordloom.queries.aggs import blended
-from wordloom.queries.common import BI, IDS, TOK, bi, docs, lex, sents, toks
-from wordloom.queries.joins import _BUCKETS, _SWAP, buckets
+from wordloom.queries.common import BI, IDS, TOK, bi, docs, lex, log_sql, sents, toks
+from wordloom.queries.joins import _BUCKETS, _PREFIX, _STEMS, _SWAP, buckets, two_sql
 from wordloom.queries.models import _EVID, evidence
 from wordloom.session import materialize, small, table
 
@@ -100,76 +99,149 @@ def q_evl9_clean_sites(spark, d):
     return R.sites(sents(spark, d), lex(spark, d)).filter("prev IS NOT NULL AND next IS NOT NULL").select("doc_id", "sent_id", "pos")
 
 
-@query()
+#: bad1(t): golden typos that aren't valid by a prefix either; two(t, word, cost) their candidates.
+_GOLD2 = f"""{_TRY}, {_PREFIX}, vt AS (SELECT DISTINCT typo FROM gold JOIN prefixes ON starts_with(typo, prefix) WHERE length(typo) >= length(prefix) + 4 AND substr(typo, length(prefix) + 1) IN (SELECT word FROM lexicon)),
+  bad1 AS (SELECT DISTINCT typo AS t FROM gold WHERE length(typo) >= 3 AND typo NOT IN (SELECT typo FROM vt)), {two_sql('bad1')},
+  rk AS (SELECT t, word, cost, log_freq, row_number() OVER w AS rank, lead(cost) OVER w AS nxt FROM two JOIN lexicon USING (word) WINDOW w AS (PARTITION BY t ORDER BY cost, log_freq DESC, word_id))"""
+
+
+@query(f"""WITH {TOK}, {_GOLD2}, au AS (SELECT t, word FROM rk WHERE rank = 1 AND cost <= 100 AND log_freq > 0 AND (nxt IS NULL OR nxt > cost)), h AS (SELECT t, list(word) FILTER (rank <= 3) AS ws, max(word) FILTER (rank = 1) AS w1 FROM rk GROUP BY 1)
+  SELECT count(*) AS attempts, count(*) FILTER (w1 = expected) AS top1, count(*) FILTER (list_contains(ws, expected)) AS top3, count(*) FILTER (h.t IS NULL) AS "none", count(h.t) AS offered, count(*) FILTER (au.word = expected) AS auto_right, count(*) FILTER (au.word <> expected) AS auto_wrong FROM gold LEFT JOIN h ON h.t = typo LEFT JOIN au ON au.t = typo""")
 def q_evl10_agg16_correction(spark, d):
-    """Accuracy of the corrections of injected typos, within two edits."""
+    """Accuracy of the corrections of injected typos, within two edits, offered and unasked."""
     g = materialize(E.golden(_known_words(spark, d), lex(spark, d), "golden"), "golden")
-    return E.accuracy(g, R.suggestions(R.candidates(g.select(_c("typo").alias("typed")), lex(spark, d))))
+    cand = materialize(R.candidates(g.select(_c("typo").alias("typed")), lex(spark, d)), "candidates")
+    return E.accuracy(g, R.suggestions(cand), R.auto_replaced(cand))
 
 
-@query()
+@query(f"""WITH {TOK}, {_STEMS}, oov AS (SELECT DISTINCT token AS t FROM tok ANTI JOIN lexicon ON word = token), bad0 AS (SELECT t FROM oov WHERE length(t) >= 3 AND t NOT IN (SELECT word FROM stems)), {two_sql('bad0')},
+  rk AS (SELECT t, word, cost, log_freq, row_number() OVER w AS rank, lead(cost) OVER w AS nxt FROM two JOIN lexicon USING (word) WINDOW w AS (PARTITION BY t ORDER BY cost, log_freq DESC, word_id))
+  SELECT (SELECT count(*) FROM oov) AS words, count(*) FILTER (rank = 1 AND cost <= 100 AND log_freq > 0 AND (nxt IS NULL OR nxt > cost)) AS replaced, count(DISTINCT t) AS offered FROM rk""")
 def q_evl11_false_replacements(spark, d):
     """How many unknown words of the corpus would be replaced unasked, or offered anything."""
-    oov = toks(spark, d).select(_c("token").alias("typed")).distinct().join(small(lex(spark, d).select(_c("word").alias("typed"))), "typed", "left_anti")
+    oov = materialize(toks(spark, d).select(_c("token").alias("typed")).distinct().join(small(lex(spark, d).select(_c("word").alias("typed"))), "typed", "left_anti"), "unknown")
     cand = materialize(R.candidates(oov, lex(spark, d)), "oov")
     auto, any_ = R.auto_replaced(cand).select("typed", F.lit(True).alias("auto")), cand.select("typed").distinct().withColumn("any", F.lit(True))
     return oov.join(auto, "typed", "left").join(any_, "typed", "left").agg(F.count("*").alias("words"), F.count("auto").alias("replaced"), F.count("any").alias("offered"))
 
 
-@query()
+WEIGHTS = (0.0, 25.0, 50.0, 75.0, 100.0, 150.0, 300.0, 400.0, 600.0)
+#: (adjacent substitution, transposition, weights of frequency) of the sweep of costs, in hundredths of an edit.
+COSTS = ((80, 100, (0.0, 50.0, 100.0)), (60, 100, (0.0, 50.0, 100.0, 300.0, 400.0)), (40, 100, (0.0, 300.0, 400.0)), (60, 80, (100.0,)), (60, 60, (100.0,)))
+
+
+def _swept(g, cand, arms):
+    """Accuracy by arm of (typed, word, log_freq, word_id, arm, score): candidates are sought once, and only ordered anew."""
+    top = R.top(cand, ["arm", "typed"], [_c("score"), F.desc("log_freq"), _c("word_id")], 3)
+    j = top.join(g, _c("typed") == _c("typo"))
+    hits = j.groupBy("arm").agg(F.count_if((_c("rank") == 1) & (_c("word") == _c("expected"))).alias("top1"), F.count_if(_c("word") == _c("expected")).alias("top3"))
+    return small(arms).join(hits, "arm", "left").fillna(0, ["top1", "top3"]).join(F.broadcast(g.agg(F.count("*").alias("attempts"))))
+
+
+@query(f"""WITH {TOK}, {_GOLD2}, s AS (SELECT w, t, word, row_number() OVER (PARTITION BY w, t ORDER BY cost - w * log_freq / 255.0::DOUBLE, log_freq DESC, word_id) AS rank FROM two JOIN lexicon USING (word), (VALUES {", ".join(f"({w}::DOUBLE)" for w in WEIGHTS)}) v(w) QUALIFY rank <= 3)
+  SELECT w AS arm, count(*) FILTER (rank = 1 AND word = expected) AS top1, count(*) FILTER (word = expected) AS top3, (SELECT count(*) FROM gold) AS attempts FROM s JOIN gold ON typo = t GROUP BY 1""")
 def q_evl12_weight_sweep(spark, d):
-    """Accuracy by weight of frequency, over candidates that are sought once."""
+    """Accuracy by weight of frequency."""
     g = materialize(E.golden(_known_words(spark, d), lex(spark, d), "golden"), "golden")
-    cand = R.candidates(g.select(_c("typo").alias("typed")), lex(spark, d)).select("*", F.explode(F.array(*(F.lit(w) for w in (0.0, 20.0, 50.0, 100.0)))).alias("weight"))
-    score = _c("cost") - _c("weight") * _c("log_freq") / 255.0
-    top = R.top(cand.withColumn("score", score), ["weight", "typed"], [_c("score"), F.desc("log_freq"), _c("word_id")], 3)
-    j = top.join(g, _c("typed") == _c("typo"))
-    hits = j.groupBy("weight").agg(F.count_if((_c("rank") == 1) & (_c("word") == _c("expected"))).alias("top1"), F.count_if(_c("word") == _c("expected")).alias("top3"))
-    return hits.join(F.broadcast(g.agg(F.count("*").alias("attempts"))))
+    cand = R.candidates(g.select(_c("typo").alias("typed")), lex(spark, d)).select("*", F.explode(F.array(*map(F.lit, WEIGHTS))).alias("arm"))
+    arms = spark.createDataFrame([(w,) for w in WEIGHTS], "arm double")
+    return _swept(g, cand.withColumn("score", _c("cost") - _c("arm") * _c("log_freq") / 255.0), arms)
+
+
+@query()
+def q_evl12_cost_sweep(spark, d):
+    """Accuracy by costs of neighbouring keys and swaps and weight of frequency, reordering what was found at neutral costs."""
+    from wordloom.functions.similarity import adjacency_map, osa
+
+    g = materialize(E.golden(_known_words(spark, d), lex(spark, d), "golden"), "golden")
+    cand = R.candidates(g.select(_c("typo").alias("typed")), lex(spark, d))
+    by = F.array(*(F.struct(osa(_c("typed"), _c("word"), adjacency_map(HEBREW), a, t).alias("cost"), F.array(*(F.struct(F.lit(f"adjacent {a}, swap {t}, frequency {w:g}").alias("arm"), F.lit(w).alias("w")) for w in ws)).alias("ws")) for a, t, ws in COSTS))
+    rows = cand.drop("cost").select("*", F.explode(by).alias("m")).select("*", "m.cost", F.explode("m.ws").alias("x")).select("typed", "word", "word_id", "log_freq", "cost", "x.*")
+    arms = spark.createDataFrame([(f"adjacent {a}, swap {t}, frequency {w:g}",) for a, t, ws in COSTS for w in ws], "arm string")
+    return _swept(g, rows.withColumn("score", _c("cost") - _c("w") * _c("log_freq") / 255.0), arms)
 
 
-_CELL = f"""tgt AS (SELECT doc_id, sent_id, pos, token, lag(id) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS prev FROM ids), t3 AS (SELECT * FROM tgt WHERE length(token) >= 3 AND pos >= 1),
-  att AS (SELECT k, t3.*, substr(token, 1, k) AS prefix FROM t3, (VALUES (1), (2), (3)) v(k) WHERE length(token) > k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, sent_id, pos) <= 20000),
-  heads AS (SELECT k, substr(word, 1, k) AS prefix, word_id, word, log_freq FROM lexicon, (VALUES (1), (2), (3)) v(k) WHERE length(word) >= k QUALIFY row_number() OVER (PARTITION BY substr(word, 1, k) ORDER BY log_freq DESC, word_id) <= 24),
-  sc AS (SELECT c.k, c.prefix, c.prev, word, log_freq + 2.0::DOUBLE * coalesce(log_count, 0) AS score FROM (SELECT DISTINCT k, prefix, prev FROM att) c JOIN heads h ON h.prefix = c.prefix AND h.word <> c.prefix LEFT JOIN bi ON first_id = prev AND second_id = h.word_id QUALIFY row_number() OVER (PARTITION BY c.k, c.prefix, c.prev ORDER BY score DESC, log_freq DESC, h.word_id) <= 3)"""
+_ATT = """tgt AS (SELECT doc_id, sent_id, pos, token, lag(id) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS prev FROM ids), t3 AS (SELECT * FROM tgt WHERE length(token) >= 3 AND pos >= 1),
+  att AS (SELECT k, t3.*, substr(token, 1, k) AS prefix FROM t3, (VALUES (0), (1), (2), (3)) v(k) WHERE length(token) > k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, sent_id, pos) <= 20000),
+  heads AS (SELECT k, substr(word, 1, k) AS prefix, word_id, word, log_freq FROM lexicon, (VALUES (1), (2), (3)) v(k) WHERE length(word) >= k QUALIFY row_number() OVER (PARTITION BY substr(word, 1, k) ORDER BY log_freq DESC, word_id) <= 24), asked AS (SELECT DISTINCT k, prefix, prev FROM att)"""
+
+
+def _cells_sql(name: str, counts: str, weight: float) -> str:
+    """name(k, attempts, offered, top1, top3) with the pair table ``counts`` (first_id, second_id, cnt, log_count)."""
+    return f"""{name}_c AS (SELECT c.k, c.prefix, c.prev, word, row_number() OVER (PARTITION BY c.k, c.prefix, c.prev ORDER BY log_freq + {weight}::DOUBLE * coalesce(log_count, 0) DESC, log_freq DESC, h.word_id) AS rank FROM asked c JOIN heads h ON h.prefix = c.prefix AND h.word <> c.prefix LEFT JOIN {counts} b ON b.first_id = prev AND b.second_id = h.word_id WHERE c.k > 0 QUALIFY rank <= 3
+    UNION ALL SELECT 0, '', first_id, word, row_number() OVER (PARTITION BY first_id ORDER BY log_count DESC, second_id) AS rank FROM (SELECT * FROM {counts} QUALIFY row_number() OVER (PARTITION BY first_id ORDER BY cnt DESC, second_id) <= 16) JOIN lexicon ON word_id = second_id QUALIFY rank <= 3),
+  {name}_o AS (SELECT DISTINCT k, prefix, coalesce(prev, -1) AS p FROM {name}_c),
+  {name} AS (SELECT a.k, count(*) AS attempts, count(o.k) AS offered, count(*) FILTER (rank = 1) AS top1, count(rank) AS top3 FROM att a LEFT JOIN {name}_c c ON c.k = a.k AND c.prefix = a.prefix AND c.prev IS NOT DISTINCT FROM a.prev AND c.word = a.token LEFT JOIN {name}_o o ON o.k = a.k AND o.prefix = a.prefix AND o.p = coalesce(a.prev, -1) GROUP BY 1)"""
 
 
 def attempts(spark, d):
-    """Targets of three or more letters after a first word, once per number of letters typed; the first 20,000 of each
-    number in corpus order, which is how the cells are defined."""
-    t = T.neighbours(sents(spark, d)).filter("length(token) >= 3 AND pos >= 1").select("doc_id", "sent_id", "pos", "token", "w-1", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    """Targets of three or more letters after a first word, once per number of letters typed (none to three); the first 20,000 of
+    each number in corpus order, which is how the cells are defined."""
+    t = T.neighbours(sents(spark, d)).filter("length(token) >= 3 AND pos >= 1").select("doc_id", "sent_id", "pos", "token", "w-1", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     a = W.first_of_each(t.filter(F.length("token") > _c("k")), "k", ["doc_id", "sent_id", "pos"], 20_000)
     return L.ids(a.withColumn("w", _c("w-1")), lex(spark, d), "w", "prev").drop("w", "w-1").withColumn("prefix", F.expr("substring(token, 1, k)"))
 
 
-def _cells(spark, d, counts, weight):
-    a = materialize(attempts(spark, d), "attempts")
-    top = R.completions(a.select("prefix", "prev"), lex(spark, d), counts, (1, 2, 3), bigram_weight=weight).select("prefix", "prev", "word", "rank")
-    hit = a.join(top, (a["prefix"] == top["prefix"]) & a["prev"].eqNullSafe(top["prev"]) & (a["token"] == top["word"]), "left").select(a["k"], "rank")
-    return hit.groupBy("k").agg(F.count("*").alias("attempts"), F.count_if(_c("rank") == 1).alias("top1"), F.count("rank").alias("top3"))
+def engine(spark, d, counts, weight=2.0):
+    """A predictor: (prefix, prev, word, rank) of contexts (prefix, prev), by completions or, where nothing is typed, next words."""
+    def predict(contexts):
+        names = small(lex(spark, d).select(_c("word_id").alias("second_id"), "word"))
+        nxt = R.next_words(counts).join(names, "second_id").select(F.lit("").alias("prefix"), _c("first_id").alias("prev"), "word", "rank")
+        return R.completions(contexts.filter("prefix <> ''"), lex(spark, d), counts, (1, 2, 3), bigram_weight=weight).select("prefix", "prev", "word", "rank").unionByName(nxt)
 
+    return predict
 
-@query(f"WITH {BI}, {_CELL} SELECT k, count(*) AS attempts, count(*) FILTER (EXISTS (SELECT 1 FROM sc WHERE sc.prefix = att.prefix AND sc.prev IS NOT DISTINCT FROM att.prev AND sc.word = att.token)) AS top3 FROM att GROUP BY 1")
-def q_evl13_cells(spark, d):
-    return _cells(spark, d, bi(spark, d), 2.0).select("k", "attempts", "top3")
 
+def cells(asked, predict):
+    """(k, attempts, offered, top1, top3) of any predictor over attempts (k, prefix, prev, token)."""
+    top = materialize(predict(asked.select("prefix", "prev")), "predicted")
+    same = lambda a, b: (a["prefix"] == b["_x"]) & a["prev"].eqNullSafe(b["_y"])
+    counts = asked.groupBy("k", "prefix", "prev", "token").agg(F.count("*").alias("n"))
+    hits = top.select(_c("prefix").alias("_x"), _c("prev").alias("_y"), "word", "rank")
+    j = counts.join(hits, same(counts, hits) & (_c("token") == _c("word")), "left").drop("_x", "_y")
+    some = top.select(_c("prefix").alias("_x"), _c("prev").alias("_y"), F.lit(1).alias("some")).distinct()
+    j = j.join(some, same(j, some), "left")
+    n = lambda ok: F.coalesce(F.sum(F.when(ok, _c("n"))), F.lit(0)).cast("bigint")
+    return j.groupBy("k").agg(F.sum("n").alias("attempts"), n(_c("some") == 1).alias("offered"), n(_c("rank") == 1).alias("top1"), n(_c("rank").isNotNull()).alias("top3"))
 
-@query()
+
+@query(f"WITH {BI}, {_ATT}, {_cells_sql('x', 'bi', 2.0)} SELECT * FROM x")
+def q_evl13_udf4_cells(spark, d):
+    return cells(materialize(attempts(spark, d), "attempts"), engine(spark, d, materialize(bi(spark, d), "bi")))
+
+
+_BW = (0.0, 0.5, 1.0, 2.0, 4.0)
+
+
+@query(f"WITH {BI}, {_ATT}, {', '.join(_cells_sql(f'x{i}', 'bi', w) for i, w in enumerate(_BW))} {' UNION ALL '.join(f'SELECT *, {w}::DOUBLE AS weight FROM x{i}' for i, w in enumerate(_BW))}")
 def q_evl14_bigram_weight_sweep(spark, d):
-    counts = materialize(bi(spark, d), "bi")
+    counts, asked = materialize(bi(spark, d), "bi"), materialize(attempts(spark, d), "attempts")
     out = None
-    for w in (0.0, 1.0, 2.0, 4.0):
-        cell = _cells(spark, d, counts, w).withColumn("weight", F.lit(w))
+    for w in _BW:
+        cell = cells(asked, engine(spark, d, counts, w)).withColumn("weight", F.lit(w))
         out = cell if out is None else out.unionByName(cell)
     return out
 
 
-@query()
+#: Cuts of the pair table: name, least count, most continuations a word (None: all).
+CUTS = (("all of 5", 5, None), ("32 of 3", 3, 32), ("8 of 2", 2, 8), ("64 of 5", 5, 64), ("64 of 4", 4, 64))
+
+
+def _cut_sql(i, least, most):
+    return f"cut{i} AS (SELECT first_id, second_id, cnt, {log_sql('cnt')} AS log_count FROM allbi WHERE cnt >= {least}" + (f" QUALIFY row_number() OVER (PARTITION BY first_id ORDER BY cnt DESC, second_id) <= {most})" if most else ")")
+
+
+@query(f"WITH {BI}, {_ATT}, {', '.join(f'{_cut_sql(i, least, most)}, {_cells_sql(f'x{i}', f'cut{i}', 2.0)}' for i, (_, least, most) in enumerate(CUTS))} " + " UNION ALL ".join(f"SELECT *, '{n}' AS \"table\" FROM x{i}" for i, (n, _, _) in enumerate(CUTS)))
 def q_evl16_allocation(spark, d):
-    """Cells under two cuts of the pair table: few pairs per word, and all."""
-    counts = materialize(bi(spark, d), "bi")
-    few = T.capped(counts, 2).drop("rank")
-    return _cells(spark, d, few, 2.0).withColumn("table", F.lit("capped")).unionByName(_cells(spark, d, counts, 2.0).withColumn("table", F.lit("whole")))
+    """Cells under five cuts of the pair table."""
+    counts, asked = materialize(T.bigrams(sents(spark, d), lex(spark, d)), "all"), materialize(attempts(spark, d), "attempts")
+    out = None
+    for name, least, most in CUTS:
+        kept = T.pruned(counts, least)
+        kept = materialize(kept if most is None else T.capped(kept, most).drop("rank"), "cut")
+        cell = cells(asked, engine(spark, d, kept)).withColumn("table", F.lit(name))
+        out = cell if out is None else out.unionByName(cell)
+    return out
 
 
 @query(f"""WITH {BI}, {_EVID}, g AS (SELECT m, doc_id, sent_id, pos FROM ev, (VALUES (8), (14), (21), (28), (35)) v(m) WHERE context > 0 AND typed_ev = 0 AND variant_ev >= m GROUP BY ALL) SELECT m AS margin, count(*) AS findings, count(DISTINCT doc_id) AS texts FROM g GROUP BY 1""")

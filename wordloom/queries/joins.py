@@ -252,8 +252,12 @@ _AB = """f AS (SELECT unnest(regexp_extract_all(' ' || raw || ' ', '[^\\wא-ת](
   abbr AS (SELECT translate(c, '״׳"''', '') AS bare, c AS canonical, count(*) AS cnt FROM (SELECT translate(f, '"''', '״׳') AS c FROM f) WHERE NOT regexp_matches(c, '[גזצת]׳$') GROUP BY 1, 2 HAVING count(*) >= 10)"""
 
 
+def abbr_forms(spark, d):
+    return T.abbreviations(_c("raw"), table(spark, d, "verb_raw", "raw"))
+
+
 def abbr(spark, d):
-    return T.unambiguous(T.abbreviations(_c("raw"), table(spark, d, "verb_raw", "raw")))
+    return T.unambiguous(abbr_forms(spark, d))
 
 
 @query(f"WITH {_AB} SELECT bare, max(canonical) AS canonical, max(cnt) AS cnt, bare IN (SELECT word FROM lexicon) AS collides FROM abbr GROUP BY bare HAVING count(*) = 1")

@@ -12,7 +12,7 @@ from wordloom.functions import similarity as S
 from wordloom.functions import text as X
 from wordloom.operators import lookup as L
 from wordloom.plans import tables as T
-from wordloom.queries.common import TOK, docs, log_sql, sents, toks
+from wordloom.queries.common import TOK, docs, hash_sql, log_sql, sents, toks
 from wordloom.profiles import HEBREW
 from wordloom.session import table
 
@@ -165,7 +165,7 @@ def q_str20_byte_order(spark, d):
     return a.join(b, "word_id").select("word_id", (_c("word") < _c("next")).alias("ascending"))
 
 
-@query()
+@query("SELECT doc_id, length(text)::INT AS points, length_grapheme(replace(text, chr(13) || chr(10), chr(10)))::INT AS clusters, CASE WHEN ends_with(text, chr(13) || chr(10)) THEN 2 ELSE length(right_grapheme(text, 1)) END::INT AS backspace FROM documents WHERE text <> ''")
 def q_str21_graphemes(spark, d):
     return docs(spark, d).filter("text <> ''").select("doc_id", F.length("text").alias("points"), F.size(X.graphemes(_c("text"))).alias("clusters"), F.length(F.element_at(X.graphemes(_c("text")), -1)).alias("backspace"))
 
@@ -196,17 +196,9 @@ def q_str26_storable(spark, d):
 _B1 = "CASE p_partkey % 4 WHEN 0 THEN a WHEN 1 THEN substr(a, 1, 2) || substr(a, 4) WHEN 2 THEN substr(a, 1, 2) || substr(a, 4, 1) || substr(a, 3, 1) || substr(a, 5) ELSE 'q' || a END"
 
 
-@query(f"WITH p AS (SELECT p_partkey, substr(p_name, 1, 9) AS a FROM part), q AS (SELECT a, {_B1} AS b FROM p) SELECT DISTINCT a, b, levenshtein(a, b)::INT AS lev, damerau_levenshtein(a, b)::INT * 100 AS osa FROM q WHERE damerau_levenshtein(a, b) <= 1")
-def q_sim1_osa_one_edit(spark, d):
-    """Up to one edit optimal string alignment and unrestricted transposition are the same."""
-    p = table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.substring("p_name", 1, 9).alias("a"))
-    p = p.select("a", F.expr(_B1).alias("b")).distinct()
-    return p.select("a", "b", F.levenshtein("a", "b").alias("lev"), S.osa(_c("a"), _c("b")).alias("osa")).filter("osa <= 100")
-
-
 @query(f"WITH p AS (SELECT p_partkey, p_name AS a FROM part), q AS (SELECT a, {_B1} AS b FROM p) SELECT DISTINCT a, b, levenshtein(a, b)::INT AS lev, damerau_levenshtein(a, b)::INT * 100 AS osa FROM q WHERE damerau_levenshtein(a, b) <= 1")
 def q_sim1_osa_whole_names(spark, d):
-    """As ``q_sim1_osa_one_edit``, over the whole names."""
+    """Up to one edit optimal string alignment and unrestricted transposition are the same."""
     p = table(spark, d, "part", "p_partkey", _c("p_name").alias("a"))
     p = p.select("a", F.expr(_B1).alias("b")).distinct()
     return p.select("a", "b", F.levenshtein("a", "b").alias("lev"), S.osa(_c("a"), _c("b")).alias("osa")).filter("osa <= 100")
@@ -378,7 +370,7 @@ def q_rnd2_rnd4_seeded_sample(spark, d):
     return docs(spark, d).select("doc_id").orderBy(H.order_key("heldout", _c("doc_id")), "doc_id").limit(100)
 
 
-@query()
+@query(f"SELECT source, {hash_sql('text')} AS digest FROM documents GROUP BY 1")
 def q_rnd3_content_hash(spark, d):
     return docs(spark, d).groupBy("source").agg(H.content_hash(_c("text")).alias("digest"))
 

@@ -97,3 +97,27 @@ def kinds(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes) of a corpus directory."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
+def headers(records: DataFrame, required: tuple[str, ...], raw: str = "raw", file: str = "src_file", line: str = "line_no") -> DataFrame:
+    """(file, columns, missing): the columns that each file's first record names, without a byte-order mark, blanks and quotes, and which
+    of the ``required`` ones it lacks. A file without a first record, or with a null one, lacks all."""
+    first = records.groupBy(file).agg(F.min(F.when(F.col(line) == 1, F.col(raw))).alias("_h"))
+    names = F.transform(F.split(F.regexp_replace(F.coalesce("_h", F.lit("")), r"\A\x{FEFF}|\r\z", ""), ","), lambda c: F.regexp_replace(F.trim(c), r'\A"|"\z', ""))
+    return first.select(file, names.alias("columns")).withColumn("missing", F.array_except(F.array(*map(F.lit, required)), "columns"))
+
+
+def leading(df: DataFrame, order: list[str], most_bytes: int, text: str) -> DataFrame:
+    """The first rows in an order, up to the one that reaches ``most_bytes`` of ``text``: a prefix, no random sample. Null texts take no
+    bytes."""
+    from wordloom.operators.windows import numbered
+
+    return numbered(df, order, amount=F.coalesce(F.octet_length(text), F.lit(0))).filter(F.col("before") < most_bytes).select(*df.columns)
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
+    """(table, whether it is missing): a table that isn't there is an empty one, so that what doesn't need it goes on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.schema(schema).parquet(path), False
+    return spark.createDataFrame([], schema), True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,17 +21,23 @@ def events_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "update", every: str | None = None) -> DataFrame:
     """Run a stream over all that is there and return its output: each micro-batch is written as a whole beside its number,
-    so that a batch that is retried replaces itself, and the checkpoint lies in the shared folder."""
+    so that a batch that is retried replaces itself, and the checkpoint lies in the shared folder. ``every``: what has
+    arrived is written at most so often, whatever came in between (a debounced write), until nothing is left."""
     spark = stream.sparkSession
     base = scratch(spark, "stream")
 
     def put(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(put)
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.trigger(processingTime=every).start()
+        query.processAllAvailable()
+        query.stop()
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
 
 
@@ -46,6 +53,13 @@ def sessions(events: DataFrame) -> DataFrame:
     return e.select("user_id", F.col("w.start").alias("started"), "n")
 
 
+def latest_wins(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, value) of each user's last request: a later one cancels those before it, whichever arrives first; ties
+    by id. Works on streams and tables."""
+    e = events.filter("ts IS NOT NULL").groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("v"))
+    return e.select("user_id", "v.event_id", "v.value")
+
+
 def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "click").alias("produced"), F.max("ts").alias("last_ts"))
 
@@ -57,6 +71,10 @@ def latencies(events: DataFrame, window: str = "1 day") -> DataFrame:
     return by.select(F.col("w.start").alias("day"), "event_type", "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
 
 
+#: A word as it stands in a text, and what of one stands at the end.
+_WORD, _WORD_END = re.compile(r"[\w֑-ׇ׳״'\"]+"), re.compile(r"[\w֑-ׇ׳״'\"]*\Z")
+
+
 class Buffer:
     """The text before a cursor as far as it is known: bounded, and forgotten when the cursor moves by itself."""
 
@@ -78,6 +96,37 @@ class Buffer:
         if to != self.cursor:
             self.text, self.cursor, self.known, self.desyncs = "", max(0, to), False, self.desyncs + 1
 
+    def word(self) -> str:
+        """The word begun before the cursor."""
+        return _WORD_END.search(self.text)[0]
+
+    def wipe(self) -> None:
+        """Forgets the text; the cursor and the count of desyncs stay."""
+        self.text, self.known = "", False
+
+    def accept(self, word: str, kind: str, replaces: str | None = None, words_back: int = 0) -> bool:
+        """Puts a suggestion into the text, if it still applies; says whether it did.
+
+        A next word is appended if no word has been begun meanwhile; anything else takes the place of the word begun. With
+        ``words_back`` it replaces an earlier word, carrying along all that follows, and only if that is still there.
+        """
+        if words_back > 0:
+            starts = [m.start() for m in _WORD.finditer(self.text, 0, len(self.text) - len(self.word()))]
+            if len(starts) < words_back or not replaces:
+                return False
+            tail = self.text[starts[-words_back] :]
+            if not tail.startswith(replaces):
+                return False
+            self.delete(len(tail))
+            self.commit(word + tail[len(replaces) :])
+            return True
+        begun = self.word()
+        if (kind == "NEXT_WORD") == bool(begun):
+            return False
+        self.delete(len(begun))
+        self.commit(word)
+        return True
+
     def apply(self, kind: str, amount: float) -> None:
         """An event as an edit: an error deletes, a view reports the cursor, anything else types its first letter."""
         n = int(amount or 0)
@@ -119,6 +168,23 @@ def buffer_stream(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").applyInPandasWithState(step, _ROW, "text string, cursor bigint, known boolean, desyncs bigint, n bigint", "update", "NoTimeout")
 
 
+_ACCEPT = "id bigint, text string, cursor bigint, applied boolean"
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """(id, text, cursor, applied) after one suggestion each, of (id, text, word, kind, replaces, words_back). Null texts are empty."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for i, text, word, kind, replaces, back in zip(p["id"], p["text"], p["word"], p["kind"], p["replaces"], p["words_back"], strict=True):
+                b = Buffer(text, len(text or ""))
+                done = b.accept(word, kind, replaces, int(back))
+                out.append((i, b.text, b.cursor, done))
+            yield pd.DataFrame(out, columns=["id", "text", "cursor", "applied"])
+
+    return requests.select("id", "text", "word", "kind", "replaces", "words_back").filter("word IS NOT NULL").mapInPandas(run, _ACCEPT)
+
+
 def session_credit(events: DataFrame) -> DataFrame:
     """(user_id, event_type, cnt, sessions): how often and in how many of the user's sessions each kind came."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
