@@ -104,9 +104,11 @@ AFTER = (
 TEMPLATE, TABLE, NESTING = r"\{\{[^{}]*\}\}", r"\{\|[^{}]*?\|\}", 8
 
 
-def strip_markup(s: Column) -> Column:
-    """Text of a wiki page without markup; templates and tables are taken out from the inside, up to eight deep."""
-    s = unescape(s)
+def strip_markup(s: Column, references: bool = True) -> Column:
+    """Text of a wiki page without markup; templates and tables are taken out from the inside, up to eight deep. Character
+    references are resolved first unless ``references`` is False."""
+    if references:
+        s = unescape(s)
     for pattern, by in BEFORE:
         s = F.regexp_replace(s, pattern, by)
     inner = s
