@@ -126,9 +126,9 @@ def fuzzy(typed: DataFrame, lex: DataFrame, edits: int = 2, longest: int = 12) -
     near = left.join(right, ["form", "part"]).filter(F.abs(F.length("typed") - F.length("word")) <= edits).select("typed", "word_id", "word", "log_freq").distinct()
     near = near.union(_long_pairs(typed, lex, edits, longest))
     # The built-in distance counts a swap as two edits. It settles most pairs; the fold runs only where a swap is possible.
-    lev, a, b = F.levenshtein("typed", "word"), F.split("typed", ""), F.split("word", "")
+    lev, a, b = F.levenshtein("typed", "word", 2 * edits), F.split("typed", ""), F.split("word", "")
     swap = (F.size(F.array_except(a, b)) < edits) & (F.size(F.array_except(b, a)) < edits)
-    near = near.withColumn("_lev", lev).withColumn("_swap", swap).filter((F.col("_lev") <= edits) | ((F.col("_lev") <= 2 * edits) & F.col("_swap")))
+    near = near.withColumn("_lev", lev).filter("_lev >= 0").withColumn("_swap", swap).filter((F.col("_lev") <= edits) | ((F.col("_lev") <= 2 * edits) & F.col("_swap")))
     cost = F.when((F.col("_lev") < 2) | ~F.col("_swap"), F.col("_lev") * 100).otherwise(osa(F.col("typed"), F.col("word")))
     return near.withColumn("cost", cost).filter(F.col("cost") <= 100 * edits).drop("_lev", "_swap")
 

@@ -174,14 +174,14 @@ def detected_wide(ev: DataFrame, margin: int = DETECT_MARGIN, skip_margin: int =
     return out
 
 
-def ordinary(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS, user: DataFrame | None = None, edits: int = MAX_EDITS) -> DataFrame:
-    """(current, prev, word, kind, rank) of distinct contexts (current, prev): what a word begun after a known word ``prev`` (an id or
-    null) is offered.
-
-    Nothing begun, or a whole abbreviation of ``abbr`` (bare, canonical): next words. Letters that abbreviate a form: that
-    form, first if they are no word and before corrections, second to the completions if they are. Anything that isn't
-    letters: nothing. A known word (as it stands or after a prefix): completions. Other letters: completions and
-    corrections, mixed by ``policy``. A word offered twice keeps its better place.
+def offered(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, n: int = SUGGESTIONS, user: DataFrame | None = None, edits: int = MAX_EDITS) -> DataFrame:
+    """(current, prev, word, kind, rank) of distinct contexts (current, prev): all that a word begun after a known word ``prev`` (an id
+    or null) could be offered, ranked within its kind.
+
+    Nothing begun, or a whole abbreviation of ``abbr`` (bare, canonical): next words. Letters that abbreviate a form: that form, and
+    completions if they are a word themselves, else corrections. Anything that isn't letters: nothing. A known word (as it
+    stands or after a prefix): completions. Other letters: completions and corrections. The rank of an abbreviation is 0 if
+    it leads and 1 if it comes second.
     """
     contexts = materialize(contexts.select(F.coalesce("current", F.lit("")).alias("current"), "prev").distinct(), "contexts")
     words = contexts.filter("current <> ''").select(F.col("current").alias("word")).distinct().withColumn("bare", X.strip_marks(F.col("word")))
@@ -191,23 +191,35 @@ def ordinary(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, abbr: Data
     flag = lambda c: F.coalesce(c, F.lit(False))
     info = materialize(info.select("word", "form", flag(F.col("whole")).alias("whole"), flag(F.col("listed")).alias("listed"), flag(F.col("valid")).alias("valid"), X.is_word(F.col("word")).alias("letters")), "words")
     rows = contexts.join(small(info.withColumnRenamed("word", "current")), "current", "left")
-    after = rows.filter((F.col("current") == "") | F.col("whole"))
     names = small(lex.select(F.col("word_id").alias("second_id"), "word"))
-    nxt = next_words(bigrams, user, n).withColumnRenamed("rank", "place").join(names, "second_id").select(F.col("first_id").alias("prev"), "word", "place")
-    out = after.select("current", "prev").join(nxt, "prev").select("current", "prev", "word", F.lit("NEXT_WORD").alias("kind"), "place")
+    nxt = next_words(bigrams, user, n).join(names, "second_id").select(F.col("first_id").alias("prev"), "word", "rank")
+    out = rows.filter((F.col("current") == "") | F.col("whole")).select("current", "prev").join(nxt, "prev").select("current", "prev", "word", F.lit("NEXT_WORD").alias("kind"), "rank")
     begun = rows.filter((F.col("current") != "") & ~F.col("whole"))
-    forms = begun.filter("form IS NOT NULL").select("current", "prev", F.col("form").alias("word"), F.lit("ABBREVIATION").alias("kind"), F.when(F.col("listed"), 3).otherwise(-1).alias("place"))
-    first, second = {"CORRECTIONS_FIRST": (1_000_000, 0), "INTERLEAVED": (0, 1)}.get(policy, (0, 1_000_000))
+    forms = begun.filter("form IS NOT NULL").select("current", "prev", F.col("form").alias("word"), F.lit("ABBREVIATION").alias("kind"), F.col("listed").cast("int").alias("rank"))
     finish = begun.filter(F.col("letters") & (F.col("form").isNull() | F.col("listed"))).select(F.col("current").alias("prefix"), "prev")
-    finish = completions(finish, lex, bigrams, n=n, user=user).select(F.col("prefix").alias("current"), "prev", "word", F.lit("COMPLETION").alias("kind"), (F.col("rank") * 2 + first).alias("place"))
+    finish = completions(finish, lex, bigrams, n=n, user=user).select(F.col("prefix").alias("current"), "prev", "word", F.lit("COMPLETION").alias("kind"), "rank")
     unsure = begun.filter(F.col("letters") & ~F.col("valid") & (F.col("form").isNull() | ~F.col("listed")))
-    fixes = suggestions(candidates(unsure.select(F.col("current").alias("typed")), lex, edits), n).select(F.col("typed").alias("current"), "word", (F.col("rank") * 2 + second).alias("place"))
-    fixes = unsure.select("current", "prev").join(fixes, "current").select("current", "prev", "word", F.lit("CORRECTION").alias("kind"), "place")
-    out = out.unionByName(forms).unionByName(finish).unionByName(fixes)
-    best = out.groupBy("current", "prev", "word").agg(F.min(F.struct("place", "kind")).alias("p")).select("current", "prev", "word", "p.kind", "p.place")
+    fixes = suggestions(candidates(unsure.select(F.col("current").alias("typed")), lex, edits), n).select(F.col("typed").alias("current"), "word", "rank")
+    fixes = unsure.select("current", "prev").join(fixes, "current").select("current", "prev", "word", F.lit("CORRECTION").alias("kind"), "rank")
+    return out.unionByName(forms).unionByName(finish).unionByName(fixes)
+
+
+def arranged(offers: DataFrame, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS) -> DataFrame:
+    """(current, prev, word, kind, rank): what is offered, in one order, cut to ``n``; ``policy`` mixes completions and corrections. A word
+    offered twice keeps its better place."""
+    first, second = {"CORRECTIONS_FIRST": (1_000_000, 0), "INTERLEAVED": (0, 1)}.get(policy, (0, 1_000_000))
+    kind, rank = F.col("kind"), F.col("rank")
+    # A listed word's completions stand at 2, 4, ...: its abbreviation comes between the first and the second.
+    place = F.when((kind == "ABBREVIATION") & (rank == 0), -1).when(kind == "ABBREVIATION", 3 + first).when(kind == "COMPLETION", rank * 2 + first).when(kind == "CORRECTION", rank * 2 + second).otherwise(rank)
+    best = offers.withColumn("place", place).groupBy("current", "prev", "word").agg(F.min(F.struct("place", "kind")).alias("p")).select("current", "prev", "word", "p.kind", "p.place")
     return top(best, ["current", "prev"], [F.col("place"), F.col("word")], n).drop("place")
 
 
+def ordinary(contexts: DataFrame, lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS, **more) -> DataFrame:
+    """(current, prev, word, kind, rank): see ``offered`` and ``arranged``."""
+    return arranged(offered(contexts, lex, bigrams, abbr, n, **more), policy, n)
+
+
 def predicted(requests: DataFrame, keys: list[str], lex: DataFrame, bigrams: DataFrame, abbr: DataFrame, skips: DataFrame | None = None, policy: str = "COMPLETIONS_FIRST", n: int = SUGGESTIONS, edits: int = MAX_EDITS, skip_margin: int = 0) -> DataFrame:
     """(keys, word, kind, replaces, rank) of requests (keys, current, c1, c2, c3, c4): the word begun and those completed before it,
     the nearest first; null where there is none.

@@ -244,12 +244,42 @@ def q_evl16_allocation(spark, d):
     return out
 
 
-@query(f"""WITH {BI}, {_EVID}, g AS (SELECT m, doc_id, sent_id, pos FROM ev, (VALUES (8), (14), (21), (28), (35)) v(m) WHERE context > 0 AND typed_ev = 0 AND variant_ev >= m GROUP BY ALL) SELECT m AS margin, count(*) AS findings, count(DISTINCT doc_id) AS texts FROM g GROUP BY 1""")
+MARGINS = (1, 8, 16, 20, 21, 22, 24, 29, 32, 48, 64)
+
+
+@query(f"""WITH {BI}, {_EVID}, lft AS (SELECT s.doc_id, s.sent_id, s.pos, (prev IS NOT NULL)::INT AS context, coalesce(a.log_count, 0) AS typed_ev, coalesce(c.log_count, 0) AS variant_ev FROM site s JOIN conf USING (id) LEFT JOIN bi a ON a.first_id = prev AND a.second_id = id LEFT JOIN bi c ON c.first_id = prev AND c.second_id = variant_id WHERE length(token) >= 2),
+  every AS (SELECT 'both' AS sides, doc_id, sent_id, pos, context, typed_ev, variant_ev FROM ev UNION ALL SELECT 'left', * FROM lft),
+  g AS (SELECT sides, z AS zero, m AS margin, doc_id, sent_id, pos FROM every, (VALUES {", ".join(f"({m})" for m in MARGINS)}) v(m), (VALUES (true), (false)) y(z) WHERE context > 0 AND variant_ev - typed_ev >= m AND (NOT z OR typed_ev = 0) GROUP BY ALL)
+  SELECT sides, zero, margin, count(*) AS findings, count(DISTINCT doc_id) AS texts FROM g GROUP BY ALL""")
 def q_evl17_margin_sweep(spark, d):
-    """One pass over the evidence: each site knows the largest margin that it clears."""
-    ev = evidence(spark, d).filter("context > 0 AND typed_ev = 0").groupBy(*R.SITE).agg(F.max("variant_ev").alias("best"))
-    g = ev.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(_c("best") >= m, F.lit(m)) for m in (8, 14, 21, 28, 35))))).alias("margin"))
-    return g.groupBy("margin").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("texts"))
+    """Findings by margin, with the word before alone or both neighbours, and with or without requiring that nothing speaks for the
+    typed word. One pass over the evidence: each site knows the largest margin that it clears."""
+    s = R.sites(sents(spark, d), lex(spark, d))
+    counts = materialize(bi(spark, d), "bi")
+    out = None
+    for sides, found in (("both", s), ("left", s.withColumn("next", F.lit(None).cast("int")))):
+        ev = R.evidence(found, lex(spark, d), counts).filter("context > 0").groupBy(*R.SITE).agg(F.max(F.when(_c("typed_ev") == 0, _c("variant_ev"))).alias("b1"), F.max(_c("variant_ev") - _c("typed_ev")).alias("b0"))
+        over = F.array_compact(F.array(*(F.when(_c(b) >= m, F.struct(F.lit(z).alias("zero"), F.lit(m).alias("margin"))) for b, z in (("b1", True), ("b0", False)) for m in MARGINS)))
+        g = ev.select("doc_id", F.explode(over).alias("x")).groupBy("x.zero", "x.margin").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("texts")).withColumn("sides", F.lit(sides))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query()
+def q_evl18_wide_configurations(spark, d):
+    """Findings per register of five detectors: adjacent words alone, with those at distance two, with frequency, with both, and with
+    both and the second next word, which isn't there yet while one types."""
+    l, s = lex(spark, d), sents(spark, d)
+    counts, skips = materialize(bi(spark, d), "bi"), materialize(T.pruned(T.skipgrams(s, l), 5), "skips")
+    sites = R.sites(s, l)
+    typed = materialize(R.evidence(sites.withColumn("next2", F.lit(None).cast("int")), l, counts, skips), "typed")
+    whole = materialize(R.evidence(sites, l, counts, skips), "whole")
+    arms = (("adjacent", typed, 0, 0), ("and distance two", typed, 21, 0), ("and frequency", typed, 0, 104), ("both", typed, 21, 104), ("both, next two known", whole, 21, 104))
+    out = None
+    for name, ev, skip, prior in arms:
+        g = R.detected_wide(ev, skip_margin=skip, prior_margin=prior).groupBy("source").agg(F.count("*").alias("findings")).withColumn("detector", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 @query(f"""WITH {BI}, {_EVID}, inj AS (SELECT s.doc_id, s.sent_id, s.pos, v.a || v.b AS pair, variant_id, variant FROM (SELECT DISTINCT doc_id, sent_id, pos, token, variant, variant_id FROM ev WHERE context > 0) s, LATERAL (SELECT x[1] AS a, x[2] AS b FROM (SELECT list_filter(list_zip(string_split(token, ''), string_split(variant, '')), lambda x: x[1] <> x[2])[1] AS x)) v),

@@ -55,10 +55,12 @@ def q_evl15_orderings(spark, d):
     l, counts, a = lex(spark, d), materialize(bi(spark, d), "bi"), materialize(abbr(spark, d), "abbr")
     asked = materialize(attempts(spark, d), "attempts")
     gold = materialize(E.golden(_known_words(spark, d), l, "golden"), "golden")
+    asked = asked.filter("k > 0")
+    ctx = asked.select(_c("prefix").alias("current"), "prev").union(gold.select("typo", F.lit(None).cast("int")))
+    offers = materialize(R.offered(ctx, l, counts, a), "offers")
     out = None
     for mix in ("CORRECTIONS_FIRST", "COMPLETIONS_FIRST", "INTERLEAVED"):
-        ctx = asked.select(_c("prefix").alias("current"), "prev").union(gold.select("typo", F.lit(None).cast("int")))
-        top = materialize(R.ordinary(ctx, l, counts, a, mix), "ordered").select(_c("current").alias("x"), _c("prev").alias("y"), "word", "rank")
+        top = materialize(R.arranged(offers, mix), "ordered").select(_c("current").alias("x"), _c("prev").alias("y"), "word", "rank")
         hit = asked.join(top, (_c("prefix") == _c("x")) & _c("prev").eqNullSafe(_c("y")) & (_c("token") == _c("word")), "left")
         texts = hit.groupBy(F.concat(F.lit("after "), "k").alias("cell")).agg(F.count("*").alias("attempts"), F.count_if(_c("rank") == 1).alias("top1"), F.count("rank").alias("top3"))
         hit = gold.join(top.filter("y IS NULL"), (_c("typo") == _c("x")) & (_c("expected") == _c("word")), "left")
