@@ -42,6 +42,8 @@ _SUMS = (f"({_K[0]} + {_K[1]})", f"({_K[2]} + {_K[3]})", f"({_K[0]} + {_K[2]})",
 _G = f"2 * ({' + '.join(map(_X, _K))} + {_X(' + '.join(_K))} - {' - '.join(map(_X, _SUMS))})"
 SQL = {
     "p5_found": f"{_SQL} SELECT first_id, second_id FROM full_ WHERE t::HUGEINT * n >= 20::HUGEINT * wa * wb",
+    "p5_associations": f"""{_SQL.replace(" WHERE s >= 5", "")}, g AS (SELECT *, t::DOUBLE * n / (wa::DOUBLE * wb) AS lift, {_G} AS llr FROM full_)
+      SELECT first_id, second_id, t, s, round(lift, 6) AS lift, round(greatest(llr, 0), 4) AS llr, greatest(llr, 0) >= 10.83 AS significant FROM g""",
     "p5_pairs": f"""{_SQL}, g AS (SELECT *, t::DOUBLE * n / (wa::DOUBLE * wb) AS lift, {_G} AS llr FROM full_)
       SELECT first_id, second_id, t, s, round(lift, 6) AS lift, round(greatest(llr, 0), 4) AS llr FROM g WHERE lift > 1 AND llr >= 10.83""",
 }
