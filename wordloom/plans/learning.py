@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.numeric import log_scale
@@ -12,7 +12,7 @@ from wordloom.operators import lookup as L
 from wordloom.plans import tables as T
 from wordloom.plans.rank import top
 from wordloom.profiles import NEXT_CANDIDATES, SUGGESTIONS, USER_CAP
-from wordloom.session import small
+from wordloom.session import materialize, small
 
 #: The id of all words outside the lexicon.
 UNKNOWN = -1
@@ -68,14 +68,36 @@ def scored(asked: DataFrame, by: list[str], found: DataFrame, cell: list[str]) -
 
 def evaluated(pairs: DataFrame, arms: DataFrame, static: DataFrame) -> DataFrame:
     """(arm, attempts, offered, top1, top3) of arms (arm, history, sessions, weight): each block's first ``history`` sentences teach,
-    the rest asks. An arm of weight 0 has no user model; a word outside the lexicon before the cursor offers nothing."""
-    by = ["arm", "block"]
-    arms = F.broadcast(arms)  # a handful of rows
-    rows = arms.join(pairs)  # each position once per arm
-    mine = learnt(rows.filter(F.col("at") < F.col("history")), ["arm", "sessions", "weight", "block"], F.col("sessions"))
-    mine = mine.filter("weight > 0 AND first_id >= 0").withColumn("term", bounded(F.col("log_count"), F.col("weight")))
-    asked = rows.filter(F.col("at") >= F.col("history"))
-    return scored(asked, by, ranked(asked.filter("first_id >= 0"), by, static, mine), ["arm"])
+    the rest asks. An arm of weight 0 has no user model; a word outside the lexicon before the cursor offers nothing.
+
+    Candidates, scores and order are those of ``ranked``. All that a block holds after one word is gathered into one row, and
+    arms are worked out inside it: positions are shuffled once, whatever the number of arms, and no row is made per candidate.
+    """
+    span = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    rows = pairs.repartition("block", "first_id").groupBy("block", "first_id", "second_id").agg(F.collect_list("at").alias("ats"), *span("at", "at"))
+    rows = rows.groupBy("block", "first_id").agg(F.collect_list(F.struct("second_id", "ats")).alias("after"), *span("lo", "hi"))
+    cut = top(static, ["first_id"], [F.desc("cnt"), F.col("second_id")], NEXT_CANDIDATES, "k")
+    # Structs sort as the order of candidates does: the best score first, then the id.
+    known = F.array_sort(F.collect_list(F.struct((-F.col("log_count").cast("double")).alias("s"), F.col("second_id"))))
+    cut = cut.groupBy("first_id").agg(known.alias("known"))
+    rows = rows.join(small(cut), "first_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<s: double, second_id: int>>")))
+    rows = rows.join(F.broadcast(arms), F.col("hi") >= F.col("history"))  # a handful of arms; without a position that asks, nothing counts
+    asks = F.transform("after", lambda x: F.struct(x.second_id.alias("second_id"), F.size(F.filter(x.ats, lambda t: t >= F.col("history"))).alias("n")))
+    rows = rows.withColumn("asks", F.filter(asks, lambda x: x.n > 0))
+    taught = F.transform("after", lambda x: F.struct(x.second_id.alias("second_id"), F.filter(x.ats, lambda t: t < F.col("history")).alias("ats")))
+    mine = F.filter(taught, lambda x: (F.size(x.ats) > 0) & (F.size(F.array_distinct(x.ats)) >= F.col("sessions")))
+    mine = F.array_sort(F.transform(mine, lambda x: F.struct((-F.size(x.ats)).alias("c"), x.second_id.alias("second_id"))))
+    mine = F.transform(F.slice(mine, 1, NEXT_CANDIDATES), lambda x: F.struct(bounded(log_scale(-x.c), F.col("weight")).alias("term"), x.second_id.alias("second_id")))
+    rows = rows.withColumn("mine", F.when((F.col("weight") > 0) & (F.col("first_id") >= 0) & (F.col("lo") < F.col("history")), mine))
+    both = F.transform("mine", lambda x: F.struct((F.coalesce(F.get(F.filter("known", lambda y: y.second_id == x.second_id), F.lit(0)).s, F.lit(0.0)) - x.term).alias("s"), x.second_id.alias("second_id")))
+    rest = F.filter("known", lambda y: ~F.exists("mine", lambda x: x.second_id == y.second_id))
+    best = F.array_sort(F.filter(F.concat(both, rest), lambda x: x.second_id >= 0))
+    best = F.slice(F.when(F.size("mine") > 0, best).otherwise(F.col("known")), 1, SUGGESTIONS)
+    rows = rows.select("arm", "asks", best.getField("second_id").alias("best"))
+    n = lambda kept: F.aggregate(F.filter("asks", kept), F.lit(0).cast("bigint"), lambda a, x: a + x.n)
+    every, first, any_ = n(lambda x: F.lit(True)), n(lambda x: F.get("best", F.lit(0)) == x.second_id), n(lambda x: F.array_contains("best", x.second_id))
+    rows = rows.select("arm", every.alias("attempts"), F.when(F.size("best") > 0, every).otherwise(0).alias("offered"), first.alias("top1"), any_.alias("top3"))
+    return rows.groupBy("arm").agg(*(F.sum(c).alias(c) for c in ("attempts", "offered", "top1", "top3")))
 
 
 def directions(pairs: DataFrame, static: DataFrame, history: int = 40, weight: float = 2.0, endorsed: int = 40) -> DataFrame:
@@ -117,5 +139,26 @@ def split_blocks(sents: DataFrame, size: int = 80) -> tuple[DataFrame, DataFrame
     return users, rest
 
 
-def static_table(sents: DataFrame, lex: DataFrame, min_count: int = 5) -> DataFrame:
-    return T.pruned(T.bigrams(sents, lex), min_count)
+def user_blocks(ordered: DataFrame, size: int = 80) -> DataFrame:
+    """(block, at, tokens): the users of ``split_blocks``, of sentences whose partitions are ranges of the corpus order and are sorted:
+    the places are counted as the rows are written, without a shuffle or a sort of sentences."""
+    at = F.monotonically_increasing_id()  # the partition's number and, in the last 33 bits, the row's within it
+    s = materialize(ordered.filter(F.size("tokens").between(4, 40)).select(at.alias("_at"), "tokens"), "ordered")
+    s = s.select("tokens", F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+    prior = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition: the windows and the broadcast are over those.
+    before = s.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n0"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    s = s.join(F.broadcast(before), "_p").withColumn("rn", F.col("_n0") + F.col("_k")).withColumn("block", F.floor(F.col("rn") / size).cast("int"))
+    return s.filter((F.col("block") % 2 == 1) & ((F.col("block") + 1) * F.lit(size).cast("bigint") <= F.col("_all"))).select("block", (F.col("rn") % size).cast("int").alias("at"), "tokens")
+
+
+def without(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first_id, second_id, cnt) of a corpus's pairs without those of its users' positions, which are a part of it."""
+    theirs = pairs.filter("first_id >= 0 AND second_id >= 0").groupBy("first_id", "second_id").agg(F.count("*").alias("_n"))
+    return counts.join(theirs, ["first_id", "second_id"], "left").select("first_id", "second_id", (F.col("cnt") - F.coalesce("_n", F.lit(0))).alias("cnt"))
+
+
+def static_table(sents: DataFrame, lex: DataFrame, pairs: DataFrame, min_count: int = 5) -> DataFrame:
+    """Pair table of all sentences but those that the users' positions ``pairs`` are from."""
+    all_ = T.bigrams(sents, lex).filter(F.col("cnt") >= min_count)
+    return T.pruned(without(all_, pairs), min_count)

@@ -12,7 +12,7 @@ from wordloom.plans import tables as T
 from wordloom.queries.common import IDS, bi, lex, log_sql, sents
 from wordloom.queries.evals import _known_words, attempts
 from wordloom.queries.joins import abbr
-from wordloom.session import materialize, small
+from wordloom.session import materialize, small, table
 
 QUERIES, SQL = {}, {}
 _c = F.col
@@ -91,9 +91,10 @@ def _arms_sql(arms):
 
 def _split(spark, d):
     """(positions of the users, pair table of all other sentences)."""
-    users, rest = Y.split_blocks(sents(spark, d))
-    l = lex(spark, d)
-    return materialize(Y.positions(users, l), "users"), materialize(Y.static_table(rest, l), "static")
+    l, texts = lex(spark, d), table(spark, d, "documents", "doc_id", "source", "text")
+    users = Y.user_blocks(T.sentence_tokens(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")))
+    pairs = materialize(Y.positions(users, l), "users")
+    return pairs, materialize(Y.static_table(sents(spark, d), l, pairs), "static")
 
 
 def _evaluated(spark, d, arms):
